@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.text import unpack_key
+from quadrille.functions.text import artifact_code, base64_bytes, clean, clean_lower, unpack_key
 from quadrille.operators.cells import snapshot_changes
+from quadrille.operators.chunkdiff import differences
+from quadrille.operators.firstmatch import first_reading
 from quadrille.operators.history import believed, build_ledger
+from quadrille.operators.incremental import VersionedState, classify, content_hash
+from quadrille.operators.references import orphans, report
+from quadrille.operators.sequences import accept, advance
 from quadrille.plans.snapshots import Snapshots, read_snapshots
-from quadrille.session import broadcast_if_small
+from quadrille.session import broadcast_if_small, materialize, shared_dir
+from quadrille.sources.tables import table
 
 ACCOUNT = ["pk", "agent", "chain_id"]
 
@@ -35,3 +43,116 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = snaps.chain.groupBy("chain_id").agg(F.max("ord").alias("last_ord"))
     rows = snapshot_changes(snaps.states("status"), broadcast_if_small(last, snaps.n_bytes), ACCOUNT, ["status"])
     return rows.join(snaps.small("chain_id", "ord", "trust_state_hash"), ["chain_id", "ord"]).select("trust_state_hash", unpack_key(F.col("pk")).alias("pubkey"), "agent", "change_kind")
+
+
+def nanopub_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference that is not blank: src_table, row_id, key (artifact code or null), at."""
+    received = table(spark, sf_dir, "trust_snapshots").select("delivery_id", F.col("received_at").alias("at"))
+    parts = []
+    for name, row, ref in (("trust_accounts", "acc_row", "intro_nanopub"), ("trust_edges", "edge_row", "via_nanopub")):
+        rows = table(spark, sf_dir, name).select("delivery_id", F.col(row).alias("row_id"), clean(ref).alias("ref")).where("ref is not null")
+        parts.append(rows.join(received, "delivery_id", "left").withColumn("src_table", F.lit(name)))
+    rows = table(spark, sf_dir, "space_rows").select(F.col("space_row").alias("row_id"), clean("root_nanopub").alias("ref"), F.col("extracted_at").alias("at"), F.lit("space_rows").alias("src_table")).where("ref is not null")
+    cols = ["src_table", "row_id", artifact_code("ref").alias("key"), "at"]
+    return parts[0].select(*cols).unionByName(parts[1].select(*cols)).unionByName(rows.select(*cols))
+
+
+def nanopub_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, since (first load), until (first load of the first nanopub that invalidates it under a key of its own)."""
+    loads = table(spark, sf_dir, "np_load").select(artifact_code("np").alias("key"), clean_lower("pubkey_hash").alias("pk"), F.col("load_timestamp").alias("t"), artifact_code("invalidates_np").alias("target")).where("key is not null")
+    since = loads.groupBy("key").agg(F.min("t").alias("since"))
+    named = loads.where("target is not null and pk is not null").select(F.col("key").alias("by"), "pk", F.col("target").alias("key")).distinct()
+    valid = named.join(loads.where("pk is not null").select("key", "pk").distinct(), ["key", "pk"])
+    until = valid.join(since.select(F.col("key").alias("by"), F.col("since").alias("until")), "by").groupBy("key").agg(F.min("until").alias("until"))
+    return since.join(until, "key", "left")
+
+
+def nanopub_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans(nanopub_references(spark, sf_dir), nanopub_lifetimes(spark, sf_dir)).withColumn("ref_month", F.date_format("at", "yyyy-MM"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to nanopubs that were not loaded or not valid at the time."""
+    return nanopub_orphans(spark, sf_dir).select("src_table", "row_id", "ref_month", "reason")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan references per table and month."""
+    return report(nanopub_orphans(spark, sf_dir), ["src_table", "ref_month"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the latest reports of the two instances."""
+    rows = table(spark, sf_dir, "repo_status").select(
+        clean("instance").alias("instance"), F.regexp_replace(clean("repo"), "^(pubkey|type)/", "$1_").alias("repo"), "np_count", F.base64(base64_bytes("checksum")).alias("checksum"), "reported_at", "status_row"
+    ).where("repo is not null and instance in ('inst-a', 'inst-b')")
+    order = F.struct("reported_at", "status_row")
+    latest = rows.groupBy("instance", "repo").agg(F.max(F.struct(order.alias("o"), "np_count", "checksum")).alias("v")).select("instance", "repo", "v.np_count", "v.checksum")
+    kept, _ = materialize(latest, "latest")
+    side = lambda name: kept.where(F.col("instance") == name)
+    return differences(side("inst-a"), side("inst-b"), ["repo"], ["np_count", "checksum"])
+
+
+#: Parts of the time line after each of which p4_found and p5_found put a new state in force.
+BATCHES = 3
+
+
+def _cuts(df: DataFrame, col: str, parts: int = BATCHES) -> list:
+    """Times that split the rows in about equal parts."""
+    shares = [k / parts for k in range(1, parts)]
+    cuts = df.select(F.unix_micros(F.col(col).cast("timestamp")).alias("t")).agg(F.percentile_approx("t", shares).alias("c")).first()[0]
+    return cuts or []
+
+
+def _part(df: DataFrame, col: str, cuts: list, k: int) -> DataFrame:
+    t = F.unix_micros(F.col(col).cast("timestamp"))
+    after = t > F.lit(cuts[k - 1]) if k else F.lit(True)
+    return df.where(after & (t <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True)))
+
+
+def first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first successful run that saw each load number: setup_id, load_number, code, run_id, polled_at, setup_rank."""
+    polls = table(spark, sf_dir, "registry_polls").where(clean("outcome") == "ok").where("setup_id is not null and load_counter is not null and polled_at is not null")
+    feed = table(spark, sf_dir, "window_feed").groupBy("setup_id", "load_number", F.coalesce(artifact_code("np_id"), clean("np_id")).alias("code")).agg(F.min("arrived_at").alias("arrived_at"))
+    readings = polls.select(F.col("setup_id").alias("grp"), F.col("polled_at").alias("at"), F.col("load_counter").alias("lvl"), F.col("run_id").alias("id"))
+    points = feed.select(F.col("setup_id").alias("grp"), F.col("arrived_at").alias("at"), F.col("load_number").alias("lvl"), "code")
+    seen = first_reading(points, readings).select(F.col("grp").alias("setup_id"), F.col("lvl").alias("load_number"), "code", F.col("id").alias("run_id"))
+    ranks = polls.groupBy("setup_id").agg(F.min("polled_at").alias("began")).withColumn("setup_rank", F.row_number().over(Window.orderBy("began", "setup_id")))
+    return seen.join(polls.select("run_id", "polled_at"), "run_id").join(ranks.select("setup_id", "setup_rank"), "setup_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load numbers each successful run had to process.
+
+    Sightings pass through the keyed state in a few spans of time. The key is the nanopub, its contents the numbers
+    it was seen under; a number that the state does not hold is due, unless the nanopub was seen under an earlier
+    setup."""
+    seen, _ = materialize(first_sightings(spark, sf_dir).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
+    state = VersionedState(spark, f"{shared_dir(spark)}/p4-{uuid.uuid4().hex}", "code string, content_hash string, setup_rank int")
+    cuts, out = _cuts(seen, "polled_at"), None
+    for k in range(len(cuts) + 1):
+        rows, held = _part(seen, "polled_at", cuts, k), state.read()
+        own = rows.groupBy("setup_id", "load_number", "code", "content_hash", "setup_rank").agg(F.min(F.struct("polled_at", "run_id")).alias("run"))
+        earliest = held.select("code", "setup_rank").unionByName(rows.select("code", "setup_rank")).groupBy("code").agg(F.min("setup_rank").alias("earliest"))
+        due = classify(own.where("code is not null"), held, ["code"]).where("change <> 'same'").join(earliest, "code").where("setup_rank <= earliest")
+        due = due.select("setup_id", "load_number", "run.polled_at", "run.run_id").unionByName(own.where("code is null").select("setup_id", "load_number", "run.polled_at", "run.run_id"))
+        done, _ = materialize(due, "due")
+        out = done if out is None else out.unionByName(done)
+        state.swap(state.stage(held.unionByName(own.where("code is not null").select("code", "content_hash", "setup_rank"))))
+    per = out.groupBy("setup_id", "load_number").agg(F.min_by("run_id", F.struct("polled_at", "run_id")).alias("run_id"))
+    return per.select("run_id", "load_number")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a nanopub in the feed but the first."""
+    feed = table(spark, sf_dir, "window_feed").select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), F.coalesce(artifact_code("np_id"), clean("np_id")).alias("key"), "arrived_at", F.struct("arrived_at", "feed_id").alias("ord"), "feed_id")
+    runs = spark.createDataFrame([], "producer long, block long, run_start long, run_end long")
+    keys, kept = spark.createDataFrame([], "key string"), None
+    cuts = _cuts(feed, "arrived_at")
+    for k in range(len(cuts) + 1):
+        batch = _part(feed, "arrived_at", cuts, k)
+        new, _ = materialize(accept(batch, runs, keys), "kept")
+        runs, keys = advance(batch, new, runs, keys)
+        runs, _ = materialize(runs, "runs")
+        kept = new if kept is None else kept.unionByName(new)
+    return feed.where("key is not null").select("feed_id").join(kept.select(F.col("first.feed_id").alias("feed_id")), "feed_id", "left_anti")
