@@ -8,31 +8,32 @@ from pyspark.sql import functions as F
 from quadrille.operators.runs import compress, match, merge
 
 STATE_RUNS = "producer long, block long, run_start long, run_end long"
-STATE_KEYS = "key string"
+STATE_SEEN = "producer long, number long, key string"
 
 
-def accept(batch: DataFrame, runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of a batch to keep: one per message that no earlier batch brought, as producer, number, key, first.
+def accept(batch: DataFrame, runs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a batch to keep, one per message that no earlier batch brought (producer, number, key, first), and
+    the distinct identifiers of the batch (producer, number, key).
 
     ``batch``: producer, number, key (what makes two messages the same), ord (struct by which the first copy is
-    chosen; its last field should be unique). ``runs``, ``keys``: the state after the batches before. Copies under
-    one number of a producer are combined first. A number that the state covers, with a key that the state knows, is
-    a repeat. Malformed identifiers are those without a producer or a positive number, numbers that name several
-    keys, and covered numbers with an unknown key: these, and messages that their producers numbered anew, are told
-    apart by an exact lookup of the key. Rows with a null key are no messages; they are neither kept nor repeats.
+    chosen; its last field should be unique). ``runs``, ``seen``: the state after the batches before. Copies under one
+    identifier are combined first. A number that the runs cover is a repeat and ends there; each uncovered number is
+    accepted once. Malformed identifiers (no producer, no positive number, a covered number that stands for another
+    key than before) and messages that their producers numbered anew are told apart by an exact lookup of the key.
+    Rows with a null key are no messages; they are neither kept nor repeats. An empty batch keeps nothing.
     """
     sound = F.col("producer").isNotNull() & (F.col("number") > 0)
     b = batch.where("key is not null").select(F.when(sound, F.col("producer")).alias("producer"), F.when(sound, F.col("number")).alias("number"), "key", "ord")
     per = b.groupBy("producer", "number", "key").agg(F.min("ord").alias("first"))
-    probes = per.select("producer", "number").where("number is not null").distinct()
-    covered = match(probes, runs, ["producer"], "number").where("covered").select("producer", "number")
-    open_ = per.join(covered, ["producer", "number"], "left_anti")
-    odd = per.join(covered, ["producer", "number"], "left_semi")
-    left = open_.unionByName(odd).join(keys, "key", "left_anti")
-    return left.groupBy("key").agg(F.min_by(F.struct("producer", "number"), "first").alias("id"), F.min("first").alias("first")).select("id.producer", "id.number", "key", "first")
-
-
-def advance(batch: DataFrame, kept: DataFrame, runs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The state after a batch: the runs of all numbers seen, and the keys."""
-    fresh = compress(batch.where("number > 0 and key is not null"), ["producer"], "number")
-    return merge(runs, fresh.select(*runs.columns), ["producer"]), keys.unionByName(kept.select("key"))
+    checked = match(per, runs, ["producer"], "number")
+    open_ = checked.where("not covered").select("producer", "number", "key", "first")
+    clash = checked.where("covered").join(seen, ["producer", "number", "key"], "left_anti").select("producer", "number", "key", "first")
+    left = open_.unionByName(clash).join(seen.select("key").distinct(), "key", "left_anti")
+    kept = left.groupBy("key").agg(F.min_by(F.struct("producer", "number"), "first").alias("id"), F.min("first").alias("first")).select("id.producer", "id.number", "key", "first")
+    return kept, per.select("producer", "number", "key")
+
+
+def advance(ids: DataFrame, runs: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state after a batch with these identifiers: runs of all numbers seen, and the identifiers themselves."""
+    fresh = compress(ids, ["producer"], "number")
+    return merge(runs, fresh.select(*runs.columns), ["producer"]), seen.unionByName(ids)

@@ -14,7 +14,7 @@ from quadrille.operators.firstmatch import first_reading
 from quadrille.operators.history import believed, build_ledger
 from quadrille.operators.incremental import VersionedState, classify, content_hash
 from quadrille.operators.references import orphans, report
-from quadrille.operators.sequences import accept, advance
+from quadrille.operators.sequences import STATE_RUNS, STATE_SEEN, accept, advance
 from quadrille.plans.snapshots import Snapshots, read_snapshots
 from quadrille.session import broadcast_if_small, materialize, shared_dir
 from quadrille.sources.tables import table
@@ -146,13 +146,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a nanopub in the feed but the first."""
     feed = table(spark, sf_dir, "window_feed").select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), F.coalesce(artifact_code("np_id"), clean("np_id")).alias("key"), "arrived_at", F.struct("arrived_at", "feed_id").alias("ord"), "feed_id")
-    runs = spark.createDataFrame([], "producer long, block long, run_start long, run_end long")
-    keys, kept = spark.createDataFrame([], "key string"), None
+    runs, seen, kept = spark.createDataFrame([], STATE_RUNS), spark.createDataFrame([], STATE_SEEN), None
     cuts = _cuts(feed, "arrived_at")
     for k in range(len(cuts) + 1):
-        batch = _part(feed, "arrived_at", cuts, k)
-        new, _ = materialize(accept(batch, runs, keys), "kept")
-        runs, keys = advance(batch, new, runs, keys)
+        new, ids = accept(_part(feed, "arrived_at", cuts, k), runs, seen)
+        new, _ = materialize(new, "kept")
+        ids, _ = materialize(ids, "ids")
+        runs, seen = advance(ids, runs, seen)
         runs, _ = materialize(runs, "runs")
         kept = new if kept is None else kept.unionByName(new)
     return feed.where("key is not null").select("feed_id").join(kept.select(F.col("first.feed_id").alias("feed_id")), "feed_id", "left_anti")
