@@ -56,7 +56,7 @@ WHERE b.pubkey IS NULL""",
     "p2_report": f"""WITH {_ORPHANS}
 SELECT src_table, ref_month, reason, count(*) AS n_orphans, count(DISTINCT nullif(code, '')) AS n_keys FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     "p3_found": r"""WITH reports AS (
-  SELECT trim(instance) AS instance, regexp_replace(trim(repo), '^(pubkey|type)/', '\1_') AS repo, np_count,
+  SELECT trim(instance) AS instance, regexp_replace(trim(repo), '^(pubkey|type)/', '\1_') AS repo, np_count, reported_at, status_row,
          rtrim(translate(nullif(trim(checksum), ''), '-_', '+/'), '=') AS checksum
   FROM repo_status WHERE trim(repo) <> ''),
 latest AS (SELECT * FROM reports QUALIFY row_number() OVER (PARTITION BY instance, repo ORDER BY reported_at DESC, status_row DESC) = 1),
