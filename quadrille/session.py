@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +79,20 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 def broadcast_if_small(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint for a materialised table whose measured size is under the limit, else a plain join."""
     return F.broadcast(df) if n_bytes <= limit else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, for clusters where it is not installed. Once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quadrille-ship-")) / "quadrille.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(target))
