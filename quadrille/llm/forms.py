@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.session import materialize
+
 # Letters of the Cyrillic and Greek alphabets and the Latin letters drawn like them, and other letters
 # of the two alphabets that are drawn like each other (the Greek one is the prototype).
 CYRILLIC_LOWER, LATIN_FOR_CYRILLIC_LOWER = "аеорсухіјѕһԁԛԝӏ", "aeopcyxijshdqwl"
@@ -78,7 +80,7 @@ def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Only the different texts of a class are paired, and each pair of texts is then joined with the documents that
     carry them, so copies of one text are never compared with each other. Repeated rows count once; a null doc_id
     is in no pair."""
-    rows = lookalike_classes(docs, doc_id, text).where("doc_id is not null")
+    rows, _ = materialize(lookalike_classes(docs, doc_id, text).where("doc_id is not null"), "classes")
     texts = rows.select("class_id", "raw").distinct()
     mixed = texts.groupBy("class_id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("class_id")
     members = rows.join(mixed, "class_id", "left_semi").distinct()
