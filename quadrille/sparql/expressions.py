@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quadrille.functions.iri import encode_for_uri
 from quadrille.model import node_term, term
 from quadrille.sparql.parser import RDF, XSD, SparqlError
 
@@ -109,11 +110,6 @@ def compare(op: str, a: Val, b: Val) -> Column:
     return F.when(ta["dt"].isin(NUMERIC) & tb["dt"].isin(NUMERIC), f(na, nb)).when(ta["dt"].isin(DATED) & tb["dt"].isin(DATED), f(ia, ib)).when(alike, f(ta["v"], tb["v"]))
 
 
-def encode_for_uri(c: Column) -> Column:
-    """Percent-encoding of all but the unreserved characters."""
-    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
-
-
 def like(result: Val, first: Val) -> Val:
     """A string result keeps the language of its first argument."""
     if first.t == "term":
