@@ -10,19 +10,20 @@ ROLL, MEAN = 4, 32
 
 
 def chunk(rows: DataFrame, roll: int = ROLL, mean: int = MEAN) -> DataFrame:
-    """Rows with the chunk they fall into. ``rows``: side, lane, h (hash of the key), row_hash. Within a lane and side
+    """Rows with the chunk they fall into. ``rows``: _side, _lane, _h (hash of the key), _row_hash. Within a lane and side
     rows are sorted by h; a chunk ends after a row where the hash over it and the rows before meets the condition."""
-    w = Window.partitionBy("lane", "side").orderBy("h", "row_hash")
-    rolled = F.sum(F.shiftright("h", 8)).over(w.rowsBetween(-(roll - 1), 0))
+    w = Window.partitionBy("_lane", "_side").orderBy("_h", "_row_hash")
+    rolled = F.sum(F.shiftright("_h", 8)).over(w.rowsBetween(-(roll - 1), 0))
     cut = F.when(F.pmod(F.xxhash64(rolled), F.lit(mean)) == 0, 1).otherwise(0)
-    return rows.withColumn("cut", cut).withColumn("chunk", F.coalesce(F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.withColumn("_cut", cut).withColumn("_chunk", F.coalesce(F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def differences(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], lanes: int | None = None, roll: int = ROLL, mean: int = MEAN) -> DataFrame:
     """What two copies differ in: key, finding, where finding is ``missing_a``, ``missing_b`` or the name of a field
     whose values differ (one row each); null equals null only.
 
-    Both have one row per key; further columns are ignored. Rows are sorted by a hash of the key, which spreads any
+    Both have one row per key (of repeated ones the greatest counts); a null key is a key. Further columns are
+    ignored; names that start with _ are reserved. Rows are sorted by a hash of the key, which spreads any
     keys evenly over the lanes, and cut into chunks at places that depend on the content alone, so that both copies
     are cut alike wherever they agree. Chunks with the same fingerprint in both copies drop out; only rows of the
     others are compared. Two empty copies do not differ.
@@ -32,19 +33,19 @@ def differences(a: DataFrame, b: DataFrame, key: list[str], fields: list[str], l
 
     def hashed(df: DataFrame, side: str) -> DataFrame:
         parts: list[Column] = [x for f in fields for x in (F.col(f), F.col(f).isNull())]
-        return df.select(*key, *fields, F.lit(side).alias("side"), F.xxhash64(*key).alias("h"), F.xxhash64(*key, *parts).alias("row_hash"), F.xxhash64(F.lit("b"), *key, *parts).alias("row_hash2"))
+        return df.select(*key, *fields, F.lit(side).alias("_side"), F.xxhash64(*key).alias("_h"), F.xxhash64(*key, *parts).alias("_row_hash"), F.xxhash64(F.lit("b"), *key, *parts).alias("_row_hash2"))
 
-    both = hashed(a, "a").unionByName(hashed(b, "b")).withColumn("lane", F.pmod(F.shiftright("h", 40), F.lit(lanes)))
+    both = hashed(a, "a").unionByName(hashed(b, "b")).withColumn("_lane", F.pmod(F.shiftright("_h", 40), F.lit(lanes)))
     # neighbours in a lane are neighbours in the hash order of its keys
-    rows = chunk(both.repartition("lane"), roll, mean)
-    prints = rows.groupBy("lane", "side", "chunk").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("row_hash").alias("x"), F.bit_xor("row_hash2").alias("y"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-    same = ["lane", "n", "x", "y", "lo", "hi"]
-    only = lambda s, t: prints.where(F.col("side") == s).join(prints.where(F.col("side") == t).select(*same), same, "left_anti").select("lane", "side", "chunk")
-    open_ = rows.join(only("a", "b").unionByName(only("b", "a")), ["lane", "side", "chunk"], "left_semi")
+    rows = chunk(both.repartition("_lane"), roll, mean)
+    prints = rows.groupBy("_lane", "_side", "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor("_row_hash").alias("_x"), F.bit_xor("_row_hash2").alias("_y"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    same = ["_lane", "_n", "_x", "_y", "_lo", "_hi"]
+    only = lambda s, t: prints.where(F.col("_side") == s).join(prints.where(F.col("_side") == t).select(*same), same, "left_anti").select("_lane", "_side", "_chunk")
+    open_ = rows.join(only("a", "b").unionByName(only("b", "a")), ["_lane", "_side", "_chunk"], "left_semi")
     value = F.struct(*fields)
-    pair = open_.groupBy("lane", *key).agg(F.max(F.when(F.col("side") == "a", F.struct(F.lit(1).alias("x"), value.alias("v")))).alias("a"), F.max(F.when(F.col("side") == "b", F.struct(F.lit(1).alias("x"), value.alias("v")))).alias("b"))
-    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    pair = open_.groupBy("_lane", *key).agg(F.max(F.when(F.col("_side") == "a", F.struct(F.lit(1).alias("x"), value.alias("v")))).alias("_a"), F.max(F.when(F.col("_side") == "b", F.struct(F.lit(1).alias("x"), value.alias("v")))).alias("_b"))
+    there = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     found = F.array_compact(
-        F.array(F.when(F.col("a").isNull(), F.lit("missing_a")), F.when(F.col("b").isNull(), F.lit("missing_b")), *(F.when(there & ~F.col(f"a.v.{f}").eqNullSafe(F.col(f"b.v.{f}")), F.lit(f)) for f in fields))
+        F.array(F.when(F.col("_a").isNull(), F.lit("missing_a")), F.when(F.col("_b").isNull(), F.lit("missing_b")), *(F.when(there & ~F.col(f"_a.v.{f}").eqNullSafe(F.col(f"_b.v.{f}")), F.lit(f)) for f in fields))
     )
     return pair.select(*key, F.explode(found).alias("finding"))

@@ -49,12 +49,12 @@ def changes(states: DataFrame, last: DataFrame, key: list[str], attrs: list[str]
     w = Window.partitionBy(*key).orderBy("ord")
     state = F.struct(*attrs)
     near = states.join(last, "chain_id").select(
-        *key, "ord", state.alias("s"), "last_ord", F.lag("ord").over(w).alias("p"), F.lag(state).over(w).alias("ps"), F.lead("ord").over(w).alias("n")
+        *key, "ord", state.alias("_s"), "last_ord", F.lag("ord").over(w).alias("_p"), F.lag(state).over(w).alias("_ps"), F.lead("ord").over(w).alias("_n")
     )
-    adjoining = F.coalesce(F.col("p") == F.col("ord") - 1, F.lit(False))
-    start = F.when(~adjoining | ~F.col("ps").eqNullSafe(F.col("s")), F.struct(F.col("ord").cast("long").alias("pos"), F.when(adjoining, F.col("ps")).alias("old"), F.col("s").alias("new")))
-    end = F.when(F.coalesce(F.col("n") > F.col("ord") + 1, F.col("ord") < F.col("last_ord")), F.struct((F.col("ord") + 1).cast("long").alias("pos"), F.col("s").alias("old"), F.when(F.lit(False), F.col("s")).alias("new")))
-    return near.select(*key, F.explode(F.array_compact(F.array(start, end))).alias("c")).select(*key, "c.pos", "c.old", "c.new")
+    adjoining = F.coalesce(F.col("_p") == F.col("ord") - 1, F.lit(False))
+    start = F.when(~adjoining | ~F.col("_ps").eqNullSafe(F.col("_s")), F.struct(F.col("ord").cast("long").alias("pos"), F.when(adjoining, F.col("_ps")).alias("old"), F.col("_s").alias("new")))
+    end = F.when(F.coalesce(F.col("_n") > F.col("ord") + 1, F.col("ord") < F.col("last_ord")), F.struct((F.col("ord") + 1).cast("long").alias("pos"), F.col("_s").alias("old"), F.when(F.lit(False), F.col("_s")).alias("new")))
+    return near.select(*key, F.explode(F.array_compact(F.array(start, end))).alias("_c")).select(*key, "_c.pos", "_c.old", "_c.new")
 
 
 def build_ledger(states: DataFrame, chain: DataFrame, attrs: list[str], key: tuple[str, ...] = ("pk", "agent", "chain_id"), small=lambda df: df) -> DataFrame:
@@ -64,7 +64,8 @@ def build_ledger(states: DataFrame, chain: DataFrame, attrs: list[str], key: tup
     ``states``: one row per entity and snapshot it is present in (key with chain_id, ord, attributes). ``chain``:
     chain_id, ord, recorded. Equal states of neighbouring snapshots form one version; null equals null. An entity
     that is absent from a snapshot has no version there. Snapshots without a time of receipt count as recorded
-    before all others. ``small`` may put a broadcast hint on tables of the size of ``chain``.
+    before all others. Columns beyond these are ignored; names that start with _ are reserved. Empty tables give an
+    empty ledger. ``small`` may put a broadcast hint on tables of the size of ``chain``.
     """
     key = list(key)
     last = chain.groupBy("chain_id").agg(F.max("ord").alias("last_ord"))

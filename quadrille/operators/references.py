@@ -23,7 +23,7 @@ def number_keys(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
 def orphans(refs: DataFrame, parents: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """References without a valid target at their time: the columns of ``refs`` and ``reason``.
 
-    ``refs``: key, at and any other columns except reason. ``parents``: key, since, until, one row or more per key; a
+    ``refs``: key, at and any other columns (one named reason is replaced). ``parents``: key, since, until, one row or more per key; a
     record exists from the earliest ``since`` and is deleted from the earliest ``until`` (null = never). Reasons, the
     first that fits: ``missing`` (null key, or a key that no parent has), ``late`` (since > at), ``deleted``
     (until <= at). A reference without a time can only be missing; a parent without ``since`` exists from the start.
@@ -33,7 +33,8 @@ def orphans(refs: DataFrame, parents: DataFrame, blocks: int = BLOCKS) -> DataFr
     Rows are joined only with the keys that can make an orphan of them.
     """
     spark = refs.sparkSession
-    own = [c for c in refs.columns if c not in ("key", "at")]
+    own = [c for c in refs.columns if c not in ("key", "at", "reason")]
+    refs = refs.select("key", "at", F.struct(*(F.col(f"`{c}`") for c in own), F.lit(0).alias("_")).alias("_own"))
     none = F.lit(None).cast("timestamp")
     r = refs.where("key is not null").select("key", F.col("at").alias("a"), F.col("at").alias("b"), none.alias("since"), none.alias("until"), F.lit(0).alias("parent"), F.lit(1).alias("n"))
     p = parents.where("key is not null").select("key", none.alias("a"), none.alias("b"), "since", "until", F.lit(1).alias("parent"), F.lit(0).alias("n"))
@@ -53,8 +54,9 @@ def orphans(refs: DataFrame, parents: DataFrame, blocks: int = BLOCKS) -> DataFr
     else:
         joined = named.join(suspects, "key")
     reason = F.when(~F.col("covered"), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
-    found = joined.withColumn("reason", reason).where("reason is not null").select("key", "at", *own, "reason")
-    return found.unionByName(refs.where("key is null").select("key", "at", *own, F.lit("missing").alias("reason")))
+    found = joined.withColumn("reason", reason).where("reason is not null").select("key", "at", "_own", "reason")
+    found = found.unionByName(refs.where("key is null").select("key", "at", "_own", F.lit("missing").alias("reason")))
+    return found.select("key", "at", *(F.col("_own")[c].alias(c) for c in own), "reason")
 
 
 def report(found: DataFrame, by: list[str]) -> DataFrame:

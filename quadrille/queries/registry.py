@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from quadrille.queries import data
+from quadrille.queries import data, reference
 from quadrille.queries.data_sql import SQL as DATA_SQL
+from quadrille.queries.reference_sql import SQL as REFERENCE_SQL
 
-FLAGSHIP = data.p6_found
+FLAGSHIP = reference.QUERIES["valid_nanopubs"]
 
 _DATA = {k: v for k, v in vars(data).items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
 
 def queries() -> dict:
-    return dict(_DATA)
+    return _DATA | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in DATA_SQL.items() if k in _DATA}
+    return DATA_SQL | REFERENCE_SQL
