@@ -96,7 +96,10 @@ def _pair(starts: DataFrame, key: list[str]) -> DataFrame:
     s = s.select(*key, "ord", "new", F.explode(F.when(F.col("late"), swept).otherwise(plain)).alias("x")).select(*key, "ord", "new", "x.t", "x.n")
     at = Window.partitionBy(*key, "t").orderBy("ord")
     v = s.withColumn("to_ord", F.lead("ord").over(at)).where("new is not null")
-    v = v.groupBy(*key, F.col("ord").alias("from_ord"), "to_ord").agg(F.first("new").alias("state"), F.min("t").alias("a"), F.max("n").alias("b"))
+    # a version that was given up may come to be believed again
+    same = Window.partitionBy(*key, "ord", "to_ord").orderBy("t")
+    v = v.withColumn("fresh", F.when(F.lag("n").over(same) == F.col("t"), 0).otherwise(1)).withColumn("spell", F.sum("fresh").over(same))
+    v = v.groupBy(*key, F.col("ord").alias("from_ord"), "to_ord", "spell").agg(F.first("new").alias("state"), F.min("t").alias("a"), F.max("n").alias("b"))
     return v.select(*key, "state", "from_ord", "to_ord", F.nullif("a", first).alias("recorded_from"), F.nullif("b", never).alias("recorded_to"))
 
 
