@@ -254,18 +254,20 @@ class Resolver:
 
     # -- D18, D19
     def build(self, state: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        """All tiers in order. With an earlier state, rows that no longer hold are removed from it first and only rows
-        above the horizon are looked at; if any structural row came, the other tiers are evaluated without it, so
-        that rows which arrived before what authorises them are caught."""
-        old = self._displace(state) if state else {}
+        """All tiers in order. With an earlier state and a horizon, rows that no longer hold are removed from the state
+        and only rows above the horizon are looked at. If anything came or went that authorises other rows, the tiers
+        are evaluated in full instead, so that rows that arrived before what authorises them are caught. The result is
+        that of a full build in every case. Admins are derived anew in each cycle."""
+        full = self.anew(since=None)
+        admins = materialize(full.admins(), "admin")[0]
+        old = self._displace(state) if state and self.since is not None else {}
+        if old and self._structural(admins, state, old):
+            old = {}
+        r = self if old else full
 
         def keep(name: str, df: DataFrame) -> DataFrame:
-            return materialize(df.unionByName(old[name]).distinct() if name in old else df, name)[0]
+            return materialize(df.unionByName(old[name]).distinct() if old else df, name)[0]
 
-        full = self.anew(since=None)
-        admins = materialize(full.admins(), "admin")[0] if state else keep("admin", self.admins())
-        late = bool(state) and self._structural(admins, state)
-        r = full if late or not state else self
         out = {"admin": admins}
         out["alias"] = keep("alias", r.aliases(admins))
         out["subspace"] = keep("subspace", r.subspaces(admins))
@@ -273,16 +275,17 @@ class Resolver:
         out["prefix"] = materialize(r.prefix_subspaces(out["subspace"]), "prefix")[0]
         out["governing"] = materialize(r.governing(out["maintained"]), "governing")[0]
         out["stamp"] = keep("stamp", r.preset_stamps(admins, out["alias"]))
-        attached = r.attachments(admins, out["alias"])
-        if "attachment" in old:
-            attached = old["attachment"].unionByName(attached.join(old["attachment"], ["ref", "role"], "left_anti").select(*old["attachment"].columns))
-        out["attachment"] = materialize(attached, "attachment")[0]
+        out["attachment"] = old["attachment"] if old else materialize(r.attachments(admins, out["alias"]), "attachment")[0]
         roles = self.spark.createDataFrame([], "ref string, space string, agent string, role string, role_type string, dir string, pred string, np string")
         for tier in (MAINTAINER, MEMBER, OBSERVER):
             new = r.roles(tier, admins, out["alias"], out["attachment"], roles)
-            if "role" in old:
-                new = new.unionByName(old["role"].where(F.col("role_type") == tier)).distinct()
-            roles = materialize(roles.unionByName(new), "role")[0]
+            if old:
+                own = old["role"].where(F.col("role_type") == tier)
+                new, _ = materialize(new.join(own, own.columns, "left_anti").select(*own.columns), "fresh")
+                if tier != OBSERVER and new.limit(1).count():
+                    r = full  # new holders of a tier may authorise what came before them
+                new = new.unionByName(own)
+            roles = materialize(roles.unionByName(new.distinct()), "role")[0]
         out["role"] = roles
         return out
 
@@ -303,11 +306,14 @@ class Resolver:
         out["role"] = reduce(DataFrame.unionByName, parts)
         return out
 
-    def _structural(self, admins: DataFrame, state: dict[str, DataFrame]) -> bool:
-        """Did anything arrive or go that authorises other rows?"""
-        new = lambda name: bool(self.live(name).limit(1).count())
-        changed = admins.select("ref", "agent").exceptAll(state["admin"].select("ref", "agent")).unionByName(state["admin"].select("ref", "agent").exceptAll(admins.select("ref", "agent")))
-        return any(map(new, ("alias", "subspace", "attachment", "declaration", "preset_decl", "preset_assign"))) or bool(changed.limit(1).count())
+    def _structural(self, admins: DataFrame, state: dict[str, DataFrame], old: dict[str, DataFrame]) -> bool:
+        """Did anything come or go that authorises other rows?"""
+        some = lambda df: bool(df.limit(1).count())
+        who = lambda df: df.select("ref", "agent")
+        arrived = ("alias", "subspace", "attachment", "declaration", "preset_decl", "preset_assign")
+        gone = ("alias", "subspace", "attachment", "role")
+        changed = some(who(admins).exceptAll(who(state["admin"]))) or some(who(state["admin"]).exceptAll(who(admins)))
+        return changed or any(some(self.live(n)) for n in arrived) or any(some(state[n].select(*old[n].columns).exceptAll(old[n])) for n in gone)
 
 
 def publishable(new: dict[str, DataFrame], old: dict[str, DataFrame] | None, trusted: DataFrame) -> bool:

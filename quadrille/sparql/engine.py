@@ -377,8 +377,6 @@ class Engine:
                 return sol, Val("str", F.lit(e[1]))
             if dt == "integer":
                 return sol, Val("int", F.lit(int(e[1])).cast("long"))
-            if dt in ("decimal", "double", "float"):
-                return sol, Val("num", F.lit(float(e[1])))
             if dt == "boolean":
                 return sol, Val("bool", F.lit(e[1] in ("true", "1")))
             return sol, Val("term", term("lit", F.lit(e[1]), e[2], e[3]))

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "4", 4)
+    s = build_session("tests", "8", 2)
     s.sparkContext.setLogLevel("ERROR")
     ship(s)
     yield s
