@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from quadrille.operators.incremental import VersionedState, classify, content_ha
 from quadrille.operators.references import orphans, report
 from quadrille.operators.sequences import STATE_RUNS, STATE_SEEN, accept, advance
 from quadrille.plans.snapshots import Snapshots, read_snapshots
-from quadrille.session import broadcast_if_small, materialize, shared_dir
+from quadrille.session import broadcast_if_small, materialize, scratch
 from quadrille.sources.tables import table
 
 ACCOUNT = ["pk", "agent", "chain_id"]
@@ -128,7 +126,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     it was seen under; a number that the state does not hold is due, unless the nanopub was seen under an earlier
     setup."""
     seen, _ = materialize(first_sightings(spark, sf_dir).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
-    state = VersionedState(spark, f"{shared_dir(spark)}/p4-{uuid.uuid4().hex}", "code string, content_hash string, setup_rank int")
+    state = VersionedState(spark, scratch(spark, "p4-state"), "code string, content_hash string, setup_rank int")
     cuts, out = _cuts(seen, "polled_at"), None
     for k in range(len(cuts) + 1):
         rows, held = _part(seen, "polled_at", cuts, k), state.read()

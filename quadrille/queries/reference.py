@@ -282,3 +282,39 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all of three words, and their scores."""
     index = textsearch.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
     return textsearch.search(index, "cache memory worker", "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+# -- streams and cycles, which SQL cannot express
+
+
+@query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nanopubs read as a stream in micro-batches and appended once per shard and nanopub, in two runs of which the
+    second begins where the first ended."""
+    from quadrille.session import scratch
+    from quadrille.streaming.feed import append_once
+
+    base = scratch(spark, "stream")
+    rows = bridge.event_nanopubs(spark, sf_dir).select("np", "code", "pubkey", "types", "created", "counter")
+    rows.repartition(4).write.parquet(f"{base}/feed")
+    sink = append_once(f"{base}/out", ["repo", "np"])
+    for _ in range(2):
+        s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/feed")
+        q = s.writeStream.foreachBatch(lambda b, e: sink(ingest.shards(b), e)).option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def incremental_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles after a build over the older half of the orders and an incremental cycle over all of them; the same as
+    those of space_state."""
+    ext = bridge.spaces(spark, sf_dir)
+    ext["acct"] = resolve.approved(ext.pop("accounts"))
+    for k in ("gen", "revocation"):
+        ext.pop(k)
+    middle = ext["loads"].agg(F.percentile_approx("ln", 0.5)).first()[0]
+    early = ext["loads"].where(F.col("ln") <= middle).select("np").distinct()
+    half = {k: v.join(early, "np", "left_semi") if k in ("grant", "attachment", "loads") else v for k, v in ext.items()}
+    state = resolve.Resolver(spark, half).build()
+    return resolve.Resolver(spark, ext, since=middle).build(state)["role"].select("ref", "agent", "role", "role_type", "np")

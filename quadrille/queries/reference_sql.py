@@ -147,4 +147,6 @@ tf AS (SELECT doc_id, len(ws) AS dl, q.word, len(list_filter(ws, lambda x: x = q
 df AS (SELECT word, count(*) AS df FROM tf WHERE tf > 0 GROUP BY word)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
 FROM tf JOIN df USING (word), stats WHERE tf > 0 GROUP BY doc_id HAVING count(*) = 3""",
+    "stream_ingest": f"WITH {_SHARDS} SELECT repo, count(*) AS n FROM shard GROUP BY repo",
 }
+SQL["incremental_cycle"] = SQL["space_state"]

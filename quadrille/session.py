@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -66,13 +67,19 @@ def _forget() -> None:
             pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/quadrille-{name}-{uuid.uuid4().hex[:12]}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and
     gives the optimizer exact sizes. Returns the table and the bytes of its files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quadrille-{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), size_of(spark, path)
 
 
@@ -96,3 +103,17 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
+
+
+def with_timeout(spark: SparkSession, seconds: float, action):
+    """Run an action; its jobs are cancelled after some seconds, and it fails then."""
+    group = f"quadrille-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group))
+    sc.setJobGroup(group, "with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return action()
+    finally:
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 from collections.abc import Iterator
 
@@ -133,6 +134,51 @@ def nanopubs(quads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return n, content
 
 
+def inline_nanopub(spark: SparkSession, encoded: str) -> DataFrame:
+    """Quads of a nanopub given as base64url of its TriG text."""
+    data = base64.urlsafe_b64decode(encoded + "=" * (-len(encoded) % 4))
+    rows = [("inline", k, *q) for k, q in enumerate(parse_trig(data.decode()))]
+    return spark.createDataFrame(rows, QUAD_POS)
+
+
+def pending_uris(spark: SparkSession, path: str, loaded: DataFrame) -> DataFrame:
+    """The IRIs of a list file (one a line, # for comments) whose nanopub is not loaded yet: uri, code."""
+    uris = spark.read.text(path).select(F.trim("value").alias("uri")).where("uri <> '' and not startswith(uri, '#')").distinct()
+    return uris.withColumn("code", artifact_code("uri")).where("code is not null").join(loaded.select(artifact_code("np").alias("code")).distinct(), "code", "left_anti").select("uri", "code")
+
+
+def objects_for(quads: DataFrame, g: str, s: str, p: str) -> DataFrame:
+    """All objects of a subject and predicate in a graph."""
+    return quads.where((F.col("g") == g) & (F.col("s") == s) & (F.col("p") == p)).select("o", "o_kind", "o_dt", "o_lang")
+
+
+def object_for(quads: DataFrame, g: str, s: str, p: str) -> str | None:
+    """The first of them in code point order, or None."""
+    r = objects_for(quads, g, s, p).orderBy("o").limit(1).collect()
+    return r[0].o if r else None
+
+
+# What a shard notes about its own loading.
+BOOKKEEPING = [ns("npa:" + x) for x in ("hasLoadNumber", "hasLoadChecksum", "hasLoadTimestamp")]
+
+
+def fetch_back(quads: DataFrame, np: str) -> DataFrame:
+    """All that is stored on a nanopub: its four graphs, its admin quads but for the shard's bookkeeping, and the
+    invalidations of it with the keys of the invalidating nanopubs."""
+    cols = ["g", "s", "p", "o", "o_kind", "o_dt", "o_lang"]
+    admin = quads.where((F.col("s") == np) & F.col("g").isin(ns("npa:graph"), ns("npa:networkGraph")) & ~F.col("p").isin(BOOKKEEPING))
+    inv = quads.where((F.col("g") == ns("npa:graph")) & (F.col("p") == ns("npx:invalidates")) & (F.col("o") == np))
+    keys = quads.where((F.col("g") == ns("npa:graph")) & F.col("p").startswith(ns("npa:hasValidSignatureForPublicKey"))).join(inv.select("s").distinct(), "s", "left_semi")
+    return content_of(quads, np).select(*cols).unionByName(admin.select(*cols)).unionByName(inv.select(*cols)).unionByName(keys.select(*cols)).distinct()
+
+
+def prune_before(quads: DataFrame, cutoff) -> DataFrame:
+    """The quads without nanopubs created before a time: neither their graphs nor what the admin graphs say of them."""
+    old = quads.where(F.col("p") == ns("dct:created")).where(F.col("o").try_cast("timestamp") < cutoff).select(F.col("s").alias("np")).distinct()
+    graphs = quads.where(F.col("p") == ns("npa:hasGraph")).join(old.withColumnRenamed("np", "s"), "s", "left_semi").select(F.col("o").alias("g")).distinct()
+    return quads.join(graphs, "g", "left_anti").join(old.withColumnRenamed("np", "s"), "s", "left_anti").select(*quads.columns)
+
+
 def content_of(quads: DataFrame, np: str) -> DataFrame:
     """The statements of a nanopub's four graphs, found by the graphs it is said to have."""
     graphs = quads.where((F.col("s") == np) & (F.col("p") == ns("npa:hasGraph"))).select(F.col("o").alias("g")).distinct()

@@ -11,6 +11,7 @@ from quadrille.plans import ingest, listing, reconcile, resolve, templates, text
 from quadrille.plans.extract import Extraction, gen
 from quadrille.plans.resolve import ADMIN, ADMIN_PRED, EXT, MAINTAINER, MEMBER, OBSERVER, Resolver
 from quadrille.plans.state import Breaker, EngineState, LoaderStatus, SnapshotStore, backoff, next_step
+from quadrille.session import materialize
 from quadrille.sources.rdf import content_of, nanopubs, parse_trig, read_nquads, read_trig
 from quadrille.sparql.engine import Engine
 from quadrille.sparql.parser import XSD
@@ -49,9 +50,9 @@ def pubs(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("trig")
     for c, t in DOCS.items():
         (d / f"{c}.trig").write_text(t)
-    quads = read_trig(spark, f"file://{d}").cache()
+    quads, _ = materialize(read_trig(spark, f"file://{d}"), "quads")
     n, content = nanopubs(quads)
-    return quads, n.cache(), content.cache()
+    return quads, materialize(n, "nanopubs")[0], materialize(content, "content")[0]
 
 
 def test_nanopubs_from_trig(pubs, rows):
@@ -444,3 +445,53 @@ def test_feed(spark, tmp_path):
         in_order(spark.createDataFrame([(4,)], "counter long"), 4).collect()
     ev = spark.createDataFrame([("a", 1, "grant"), ("a", 2, "revoke"), ("b", 1, "grant")], "k string, t int, v string")
     assert {r.k: r.v for r in latest_wins(ev, ["k"], ["t", "v"]).collect()} == {"a": "revoke", "b": "grant"}
+
+
+def test_stored_nanopub(spark, pubs, rows, tmp_path):
+    import base64
+
+    from quadrille.sources.rdf import fetch_back, inline_nanopub, object_for, objects_for, pending_uris, prune_before
+
+    quads, n, content = pubs
+    store = ingest.admin_quads(n, content).unionByName(quads.withColumn("repo", F.lit("full")).select("repo", "g", "s", "p", "o", "o_kind", "o_dt", "o_lang"))
+    store, _ = materialize(store, "store")
+    got = fetch_back(store, NP("c"))
+    assert got.where(F.col("g").startswith(NP("c"))).count() == content.where(F.col("np") == NP("c")).count()
+    assert got.where((F.col("p") == ns("npx:invalidates")) & (F.col("s") == NP("j"))).count() == 1
+    assert object_for(store, ingest.GRAPH, NP("c"), ns("npa:artifactCode")) == CODE("c") and object_for(store, "g", "s", "p") is None
+    assert objects_for(store, ingest.GRAPH, NP("c"), ns("npa:hasGraph")).count() == 4
+    kept = prune_before(store, F.lit("2024-01-05").cast("timestamp"))
+    left = {r.s for r in kept.where(F.col("p") == ns("npa:artifactCode")).collect()}
+    assert left == {NP(c) for c in DOCS if 1 + ord(c) % 9 >= 5} and kept.where(F.col("g").startswith(NP("c") + "/")).count() == (0 if NP("c") not in left else 11)
+    inline = inline_nanopub(spark, base64.urlsafe_b64encode(DOCS["c"].encode()).decode().rstrip("="))
+    assert rows(nanopubs(inline)[0].select("np")) == [(NP("c"),)]
+    (tmp_path / "uris.txt").write_text(f"# list\n{NP('a')}\n{NP('y')}\n\nno code\n")
+    assert rows(pending_uris(spark, f"file://{tmp_path}/uris.txt", n).select("code")) == [(CODE("y"),)]
+
+
+def test_api_and_consumers(spark):
+    from quadrille.api import Api
+    from quadrille.plans.consumers import BUILT_IN, members, state_quads
+
+    w = World(spark)
+    w.put("ref_iri", ("RP", "P", None))
+    w.grant("dave", "dave")
+    w.say("attachment", "dave", "S", "memb")
+    w.grant("dave", "mia", "joins", "regular")
+    w.grant("zoe", "max", "joins", "regular")
+    w.grant("zoe", "nobody", "joins", "regular")
+    r = w.resolver()
+    state = r.build()
+    assert pairs(members(state, r.ext).where("ref = 'R1'"), "agent", "status") == {("mia", "validated"), ("max", "account-only"), ("nobody", "unknown")}
+    e = Engine(spark, FlatQuads(materialize(state_quads(state, "http://state/1"), "state")[0]))
+    api = Api(spark, e, BUILT_IN, spaces=spark.createDataFrame([("S<", "R1", "n")], "space string, ref string, root_np string"), shards=spark.createDataFrame([("type_x",), ("meta",)], "repo string"), gauges={"loaded": lambda: 3})
+    code = BUILT_IN[0].code
+    assert api(f"/api/{code}/space-admins.csv") == (200, "text/csv", "ref,agent\r\nR1,dave\r\n")
+    assert api(f"/api/{code}/space-members.csv?space=S")[0] == 400  # no IRI
+    assert api(f"/api/{code}/space-members.json?space=urn:none")[2] == '{"head": {"vars": ["ref", "agent", "role"]}, "results": {"bindings": []}}'
+    assert api(f"/api/{code}/space-members.csv")[0] == 400 and api(f"/api/{code}/none.csv")[0] == 400 and api("/nowhere")[0] == 404
+    assert api("/repo/spaces?query=ASK%20%7B%3Fa%20%3Fb%20%3Fc%7D")[2] == '{"head": {}, "boolean": true}'
+    assert "uri" in api("/repo/spaces?query=SELECT%20%3Fa%20%7B%3Fa%20%3Fb%20%3Fc%7D%20LIMIT%201")[2]
+    assert api("/repo/spaces?query=nonsense")[0] == 400 and api("/repo?for-type=http://t")[0] == 301
+    assert api("/types")[2] == "type_x\n" and "S&lt;" in api("/spaces")[2] and '"space_iri":"S<"' in api("/spaces.json")[2]
+    assert "loaded 3" in api("/metrics")[2] and "parameter: space" in api(f"/grlc-spec/{code}/space-members")[2] and "openapi" in api(f"/openapi/spec/{code}/sub-spaces")[2]
