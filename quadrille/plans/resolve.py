@@ -10,7 +10,8 @@ Inputs are the tables named in EXT; missing ones count as empty.
 
 from __future__ import annotations
 
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,9 +68,13 @@ class Resolver:
     def __init__(self, spark: SparkSession, ext: dict[str, DataFrame], since: int | None = None):
         self.spark = spark
         self.ext = {k: ext[k] if k in ext else spark.createDataFrame([], s) for k, s in EXT.items()}
-        self.dead = same_key_invalidations(self.ext["loads"], self.ext["invalidates"]).select(F.col("target").alias("np")).distinct()
         self.since = since
 
+    @cached_property
+    def dead(self) -> DataFrame:
+        """Invalidated nanopubs; written once, as every rule reads them."""
+        return materialize(same_key_invalidations(self.ext["loads"], self.ext["invalidates"]).select(F.col("target").alias("np")).distinct(), "dead")[0]
+
     def live(self, name: str, new: bool = True) -> DataFrame:
         """Rows that are not invalidated, and new ones only if the resolver has a horizon."""
         df = self.ext[name].join(self.dead, "np", "left_anti")
@@ -83,7 +88,7 @@ class Resolver:
 
     def anew(self, **kw) -> Resolver:
         r = object.__new__(Resolver)
-        r.__dict__ = self.__dict__ | kw
+        r.__dict__ = self.__dict__ | {"dead": self.dead} | kw
         return r
 
     # -- D2, D3, D15
@@ -268,14 +273,25 @@ class Resolver:
         def keep(name: str, df: DataFrame) -> DataFrame:
             return materialize(df.unionByName(old[name]).distinct() if old else df, name)[0]
 
-        out = {"admin": admins}
-        out["alias"] = keep("alias", r.aliases(admins))
-        out["subspace"] = keep("subspace", r.subspaces(admins))
-        out["maintained"] = keep("maintained", r.maintained(admins))
-        out["prefix"] = materialize(r.prefix_subspaces(out["subspace"]), "prefix")[0]
-        out["governing"] = materialize(r.governing(out["maintained"]), "governing")[0]
-        out["stamp"] = keep("stamp", r.preset_stamps(admins, out["alias"]))
-        out["attachment"] = old["attachment"] if old else materialize(r.attachments(admins, out["alias"]), "attachment")[0]
+        out = {"admin": admins, "alias": keep("alias", r.aliases(admins))}
+
+        def structure() -> None:
+            out["subspace"] = keep("subspace", r.subspaces(admins))
+            out["prefix"] = materialize(r.prefix_subspaces(out["subspace"]), "prefix")[0]
+
+        def resources() -> None:
+            out["maintained"] = keep("maintained", r.maintained(admins))
+            out["governing"] = materialize(r.governing(out["maintained"]), "governing")[0]
+
+        def presets() -> None:
+            out["stamp"] = keep("stamp", r.preset_stamps(admins, out["alias"]))
+
+        def attachments() -> None:
+            out["attachment"] = old["attachment"] if old else materialize(r.attachments(admins, out["alias"]), "attachment")[0]
+
+        with ThreadPoolExecutor(4) as pool:  # these tiers do not read each other
+            for done in [pool.submit(f) for f in (structure, resources, presets, attachments)]:
+                done.result()
         roles = self.spark.createDataFrame([], "ref string, space string, agent string, role string, role_type string, dir string, pred string, np string")
         for tier in (MAINTAINER, MEMBER, OBSERVER):
             new = r.roles(tier, admins, out["alias"], out["attachment"], roles)
