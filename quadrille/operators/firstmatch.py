@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.ranks import row_numbers
 from quadrille.session import broadcast_if_small, materialize
 
-#: Children of a node in the search tree.
-FAN = 128
+#: Children of a node in the search tree, and the span of times numbered by one task where they are not timestamps, which
+#: are numbered by day.
+FAN, SPAN = 128, 86_400
 
 
 def _index(readings: DataFrame, fan: int) -> list[tuple[DataFrame, int]]:
     """Levels of a search tree over each group's readings, leaves first. A node keeps of each child, in time order,
     its last time, its highest level and its number (of leaves: the reading's id)."""
-    w = Window.partitionBy("grp").orderBy("at", "id")
-    flat = readings.where("grp is not null and at is not null and lvl is not null").select("grp", "at", "lvl", "id", F.row_number().over(w).cast("long").alias("i"))
+    whole = readings.where("grp is not null and at is not null and lvl is not null").select("grp", "at", "lvl", "id")
+    block = F.unix_date(F.to_date("at")).cast("long") if dict(whole.dtypes)["at"].startswith("timestamp") else F.floor(F.col("at") / SPAN).cast("long")
+    flat = row_numbers(whole, ["grp"], ["at", "id"], block, "i")
     levels = []
     while True:
         node = flat.withColumn("node", F.floor((F.col("i") - 1) / fan).cast("long")).groupBy("grp", "node").agg(F.sort_array(F.collect_list(F.struct("i", "at", "lvl", "id"))).alias("kids"))
@@ -59,6 +60,3 @@ def first_reading(points: DataFrame, readings: DataFrame, fan: int = FAN) -> Dat
     own = [c for c in points.columns if c != "id"]
     return x.where("_id is not null").select(*own, F.col("_id").alias("id"))
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -57,19 +57,31 @@ def fresh(rows: DataFrame, loaded: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").join(loaded.select("repo", "np").distinct(), ["repo", "np"], "left_anti")
 
 
-def number(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+#: Counters that are numbered by one task.
+SPAN = 1 << 16
+
+
+def number(rows: DataFrame, heads: DataFrame | None = None, span: int = SPAN) -> DataFrame:
     """Load numbers (from 0; from 1 in spaces) and running checksums per shard in the order of the counter. ``heads``:
-    repo, np_count and w0..w3 of the rows loaded before."""
-    w = Window.partitionBy("repo").orderBy("counter")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = rows.withColumns({f"c{k}": c for k, c in enumerate(code_words(F.col("code")))})
+    repo, np_count and w0..w3 of the rows loaded before.
+
+    A shard may hold every row. Numbers and checksums run within spans of the counter, and the totals of the spans
+    before are added to them."""
+    n4 = range(4)
+    x = rows.withColumn("_b", F.floor(F.col("counter") / span).cast("long")).withColumns({f"_c{k}": c for k, c in enumerate(code_words(F.col("code")))})
+    totals = x.groupBy("repo", "_b").agg(F.count(F.lit(1)).alias("_n"), *(F.bit_xor(f"_c{k}").alias(f"_t{k}") for k in n4))
+    before = Window.partitionBy("repo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    base = totals.select("repo", "_b", F.coalesce(F.sum("_n").over(before), zero).alias("_base"), *(F.coalesce(F.bit_xor(f"_t{k}").over(before), zero).alias(f"_h{k}") for k in n4))
     if heads is not None:
-        x = x.join(heads.select("repo", F.col("np_count").alias("base"), *(F.col(f"w{k}").alias(f"h{k}") for k in range(4))), "repo", "left")
-    else:
-        x = x.withColumns({"base": F.lit(0), **{f"h{k}": F.lit(0).cast("long") for k in range(4)}})
-    n = F.coalesce("base", F.lit(0)) + F.row_number().over(w) - F.when(F.col("repo") == "spaces", 0).otherwise(1)
-    sums = [F.coalesce(f"h{k}", F.lit(0).cast("long")).bitwiseXOR(F.bit_xor(f"c{k}").over(upto)) for k in range(4)]
-    return x.withColumns({"load_number": n.cast("long"), "load_checksum": checksum_text(sums)}).drop("base", *(f"{p}{k}" for p in "ch" for k in range(4)))
+        base = base.join(heads.select("repo", F.col("np_count").alias("_m"), *(F.col(f"w{k}").alias(f"_g{k}") for k in n4)), "repo", "left")
+        base = base.withColumns({"_base": F.col("_base") + F.coalesce("_m", zero), **{f"_h{k}": F.col(f"_h{k}").bitwiseXOR(F.coalesce(f"_g{k}", zero)) for k in n4}}).drop("_m", *(f"_g{k}" for k in n4))
+    w = Window.partitionBy("repo", "_b").orderBy("counter")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_r": F.row_number().over(w), **{f"_s{k}": F.bit_xor(f"_c{k}").over(upto) for k in n4}}).join(base, ["repo", "_b"])
+    n = F.col("_base") + F.col("_r") - F.when(F.col("repo") == "spaces", 0).otherwise(1)
+    x = x.withColumns({"load_number": n.cast("long"), "load_checksum": checksum_text([F.col(f"_h{k}").bitwiseXOR(F.col(f"_s{k}")) for k in n4])})
+    return x.drop("_b", "_r", "_base", *(f"_{p}{k}" for p in "csh" for k in n4))
 
 
 def invalidations(content: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.model import NS, QUAD_COLUMNS, ns
@@ -66,8 +66,7 @@ def canonical_names(accounts: DataFrame, by: list[str]) -> DataFrame:
 
 def retained(snapshots: DataFrame, keep: int = 100) -> DataFrame:
     """The newest snapshots by counter; fewer than one is read as one."""
-    w = Window.orderBy(F.col("trust_state_counter").desc(), "trust_state_hash")
-    return snapshots.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(1, keep)).drop("_n")
+    return snapshots.orderBy(F.col("trust_state_counter").desc(), "trust_state_hash").limit(max(1, keep))
 
 
 def trust_quads(snapshots: DataFrame, accounts: DataFrame) -> DataFrame:

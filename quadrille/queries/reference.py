@@ -122,9 +122,8 @@ def shard_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def running_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load number and running checksum of every nanopub in its key's shard."""
-    rows = ingest.shards(bridge.event_nanopubs(spark, sf_dir)).where(F.col("repo").startswith("pubkey_"))
-    return ingest.number(rows).select("repo", "np", "load_number", "load_checksum")
+    """Load number and running checksum of every nanopub in each of its shards."""
+    return ingest.number(ingest.shards(bridge.event_nanopubs(spark, sf_dir))).select("repo", "np", "load_number", "load_checksum")
 
 
 @query

@@ -109,7 +109,7 @@ WHERE p.dst NOT IN (SELECT target FROM dead) GROUP BY p.src""",
     "template_run": f"SELECT {_O} o_orderkey AS o, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
     "shard_fanout": f"WITH {_SHARDS} SELECT repo, count(*) AS n FROM shard GROUP BY repo",
     "running_load": f"""WITH {_SHARDS}
-SELECT repo, np, row_number() OVER w - 1 AS load_number, {_checksum(" OVER w")} AS load_checksum FROM shard WHERE repo LIKE 'pubkey_%'
+SELECT repo, np, row_number() OVER w - 1 AS load_number, {_checksum(" OVER w")} AS load_checksum FROM shard
 WINDOW w AS (PARTITION BY repo ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "xor_checksum": f"WITH {_SHARDS} SELECT repo, count(*) AS np_count, {_checksum()} AS checksum FROM shard GROUP BY repo",
     "last30d": f"WITH {_EV} SELECT np, ts AS created FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 10 DAYS",

@@ -155,7 +155,8 @@ def test_incremental_survives_failure(spark, tmp_path):
 
 
 @pytest.mark.parametrize("fan", [2, 3, 128])
-def test_first_reading(spark, fan):
+def test_first_reading(spark, fan, monkeypatch):
+    monkeypatch.setattr("quadrille.operators.firstmatch.SPAN", 7 * fan)
     rng = random.Random(fan)
     readings = [(g, rng.randint(0, 60), max(0, k + rng.randint(-6, 2)), 100 * g + k) for g in (1, 2) for k in range(40)]
     readings += [(None, 1, 1, 900), (1, None, 1, 901), (1, 1, None, 902)]

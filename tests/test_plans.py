@@ -110,6 +110,7 @@ def test_numbers_and_checksums(spark):
     assert (total.np_count, total.checksum) == (4, n["meta", "d"][1])
     first, rest = df.where("counter < 2"), df.where("counter >= 2")
     heads = first.groupBy("repo").agg(F.count("*").alias("np_count"), *(F.bit_xor(c).alias(f"w{k}") for k, c in enumerate(ingest.code_words(F.col("code")))))
+    assert n == {(r.repo, r.np[-1]): (r.load_number, r.load_checksum) for r in ingest.number(df, span=2).collect()}
     later = {(r.repo, r.np[-1]): (r.load_number, r.load_checksum) for r in ingest.number(rest, heads).collect()}
     assert later == {k: v for k, v in n.items() if k in later}
     again = ingest.fresh(df.unionByName(df), first)
