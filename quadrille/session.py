@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import threading
 import uuid
@@ -97,12 +98,16 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="quadrille-ship-")) / "quadrille.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    root, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
+    target = f"{scratch(spark, 'code')}/quadrille.zip"
+    fs, path = hadoop_path(spark, target)
+    out = fs.create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
 
 
 def with_timeout(spark: SparkSession, seconds: float, action):
