@@ -47,6 +47,12 @@ def base64_bytes(c: Column | str) -> Column:
     return F.when(t.rlike("^[A-Za-z0-9+/]*$") & (n != 1), F.unbase64(F.concat(t, pad)))
 
 
+def base64_key(c: Column | str) -> Column:
+    """The bytes of base64 in one spelling. Text that is not base64 is kept with a mark before it, so that it equals
+    itself only; null where the text is blank or null."""
+    return F.coalesce(F.base64(base64_bytes(c)), F.concat(F.lit("!"), F.rtrim(F.translate(clean(c), "-_", "+/"), F.lit("="))))
+
+
 def digest(*cols: Column | str) -> list[Column]:
     """128 bits over the columns, nulls and boundaries included, as two longs."""
     cs = [F.col(c) if isinstance(c, str) else c for c in cols]

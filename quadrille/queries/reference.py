@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.iri import encode_for_uri, parent_prefix, shard_name, short_key, trusty_base
-from quadrille.functions.text import artifact_code, clean, clean_lower
+from quadrille.functions.text import artifact_code, base64_key, clean, clean_lower
 from quadrille.operators.closure import closure
 from quadrille.plans import ingest, listing, reconcile, resolve, textsearch, trust
 from quadrille.plans.templates import Template
@@ -161,11 +161,11 @@ def shard_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fleet_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repositories on which the latest reports of the instances do not agree."""
-    rows = table(spark, sf_dir, "repo_status").select(clean("instance").alias("instance"), F.regexp_replace(clean("repo"), "^(pubkey|type)/", "$1_").alias("repo"), "np_count", "reported_at", "status_row")
+    """Repositories on which the latest reports of the instances do not agree in count or checksum; null equals null only."""
+    rows = table(spark, sf_dir, "repo_status").select(clean("instance").alias("instance"), F.regexp_replace(clean("repo"), "^(pubkey|type)/", "$1_").alias("repo"), "np_count", base64_key("checksum").alias("checksum"), "reported_at", "status_row")
     w = Window.partitionBy("instance", "repo").orderBy(F.col("reported_at").desc(), F.col("status_row").desc())
     last = rows.withColumn("n", F.row_number().over(w)).where("n = 1")
-    return reconcile.consistent(last.select("instance", "repo", F.coalesce("np_count", F.lit(-1)).alias("np_count"), F.lit("").alias("checksum")))
+    return reconcile.consistent(last.select("instance", "repo", F.coalesce("np_count", F.lit(-1)).alias("np_count"), "checksum"))
 
 
 @query
