@@ -108,35 +108,42 @@ def _part(df: DataFrame, col: str, cuts: list, k: int) -> DataFrame:
     return df.where(after & (t <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True)))
 
 
-def first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first successful run that saw each load number: setup_id, load_number, code, run_id, polled_at, setup_rank."""
+def successful_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, setup_id, load_counter, polled_at, setup_rank (place of the setup in time) of the successful runs."""
     polls = table(spark, sf_dir, "registry_polls").where(clean("outcome") == "ok").where("setup_id is not null and load_counter is not null and polled_at is not null")
-    feed = table(spark, sf_dir, "window_feed").groupBy("setup_id", "load_number", F.coalesce(artifact_code("np_id"), clean("np_id")).alias("code")).agg(F.min("arrived_at").alias("arrived_at"))
-    readings = polls.select(F.col("setup_id").alias("grp"), F.col("polled_at").alias("at"), F.col("load_counter").alias("lvl"), F.col("run_id").alias("id"))
+    ranks = polls.groupBy("setup_id").agg(F.min("polled_at").alias("began")).withColumn("setup_rank", F.row_number().over(Window.orderBy("began", "setup_id")))
+    return polls.select("run_id", "setup_id", "load_counter", "polled_at").join(ranks.select("setup_id", "setup_rank"), "setup_id")
+
+
+def sightings(feed: DataFrame, runs: DataFrame) -> DataFrame:
+    """All that the runs see of the feed, whatever other runs saw, each with the first of them: setup_id, load_number, code,
+    run_id, polled_at, setup_rank. ``feed``: setup_id, load_number, code, arrived_at."""
+    readings = runs.select(F.col("setup_id").alias("grp"), F.col("polled_at").alias("at"), F.col("load_counter").alias("lvl"), F.col("run_id").alias("id"))
     points = feed.select(F.col("setup_id").alias("grp"), F.col("arrived_at").alias("at"), F.col("load_number").alias("lvl"), "code")
     seen = first_reading(points, readings).select(F.col("grp").alias("setup_id"), F.col("lvl").alias("load_number"), "code", F.col("id").alias("run_id"))
-    ranks = polls.groupBy("setup_id").agg(F.min("polled_at").alias("began")).withColumn("setup_rank", F.row_number().over(Window.orderBy("began", "setup_id")))
-    return seen.join(polls.select("run_id", "polled_at"), "run_id").join(ranks.select("setup_id", "setup_rank"), "setup_id")
+    return seen.join(runs.select("run_id", "polled_at", "setup_rank"), "run_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The load numbers each successful run had to process.
 
-    Sightings pass through the keyed state in a few spans of time. The key is the nanopub, its contents the numbers
-    it was seen under; a number that the state does not hold is due, unless the nanopub was seen under an earlier
-    setup."""
-    seen, _ = materialize(first_sightings(spark, sf_dir).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
+    The runs are replayed in a few spans of time. All that those of a span see passes through the keyed state. The key
+    is the nanopub, its contents the numbers it was seen under; a number that the state does not hold is due, unless
+    the nanopub was seen under an earlier setup."""
+    runs, _ = materialize(successful_runs(spark, sf_dir), "runs")
+    feed = table(spark, sf_dir, "window_feed").groupBy("setup_id", "load_number", F.coalesce(artifact_code("np_id"), clean("np_id")).alias("code")).agg(F.min("arrived_at").alias("arrived_at"))
+    feed, _ = materialize(feed, "feed")
     state = VersionedState(spark, scratch(spark, "p4-state"), "code string, content_hash string, setup_rank int")
-    cuts, out = _cuts(seen, "polled_at"), None
+    cuts, out = _cuts(runs, "polled_at"), None
     for k in range(len(cuts) + 1):
-        rows, held = _part(seen, "polled_at", cuts, k), state.read()
-        own = rows.groupBy("setup_id", "load_number", "code", "content_hash", "setup_rank").agg(F.min(F.struct("polled_at", "run_id")).alias("run"))
-        earliest = held.select("code", "setup_rank").unionByName(rows.select("code", "setup_rank")).groupBy("code").agg(F.min("setup_rank").alias("earliest"))
-        due = classify(own.where("code is not null"), held, ["code"]).where("change <> 'same'").join(earliest, "code").where("setup_rank <= earliest")
-        due = due.select("setup_id", "load_number", "run.polled_at", "run.run_id").unionByName(own.where("code is null").select("setup_id", "load_number", "run.polled_at", "run.run_id"))
-        done, _ = materialize(due, "due")
+        rows, _ = materialize(sightings(feed, _part(runs, "polled_at", cuts, k)).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
+        held = state.read()
+        fresh, _ = materialize(classify(rows.where("code is not null"), held, ["code"]).where("change <> 'same'").drop("change"), "fresh")
+        earliest = held.select("code", "setup_rank").unionByName(fresh.select("code", "setup_rank")).groupBy("code").agg(F.min("setup_rank").alias("earliest"))
+        due = fresh.join(earliest, "code").where("setup_rank <= earliest").unionByName(rows.where("code is null"), allowMissingColumns=True)
+        done, _ = materialize(due.select("setup_id", "load_number", "polled_at", "run_id"), "due")
         out = done if out is None else out.unionByName(done)
-        state.swap(state.stage(held.unionByName(own.where("code is not null").select("code", "content_hash", "setup_rank"))))
+        state.swap(state.stage(held.unionByName(fresh.select("code", "content_hash", "setup_rank"))))
     per = out.groupBy("setup_id", "load_number").agg(F.min_by("run_id", F.struct("polled_at", "run_id")).alias("run_id"))
     return per.select("run_id", "load_number")
 

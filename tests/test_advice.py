@@ -3,7 +3,9 @@
 import base64
 from datetime import datetime, timedelta
 
-from quadrille.queries import reference
+from pyspark.sql import functions as F
+
+from quadrille.queries import data, reference
 
 T0 = datetime(2024, 1, 1)
 A, B = (base64.b64encode(bytes([k]) * 32).decode() for k in (0xFB, 0xFC))
@@ -25,3 +27,24 @@ def test_fleet_compares_checksums(spark, rows, tmp_path):
     assert spelled != A
     pairs = {"same": ((1, A), (1, f" {spelled} ")), "sum": ((1, A), (1, B)), "count": ((1, A), (2, A)), "null": ((1, A), (1, None)), "nulls": ((None, None), (None, None)), "bad": ((1, "abcde"), (1, None)), "bads": ((1, "abcde"), (1, "fghij"))}
     assert rows(reference.fleet_consistency(spark, status(spark, tmp_path, pairs))) == [("bad",), ("bads",), ("count",), ("null",), ("sum",)]
+
+
+def test_state_selects_what_runs_process(spark, rows, tmp_path, monkeypatch):
+    """Runs of all spans see number 1; only the state can tell that the first of them processed it."""
+    day = lambda k: T0 + timedelta(days=k)
+    polls = [(k, day(k), n, s, "ok") for k, n, s in ((1, 1, 7), (2, 3, 7), (3, 2, 7), (4, 9, 7), (5, 9, 7), (6, 9, 7), (7, 3, 5), (8, 9, 5))]
+    put(spark, tmp_path, "registry_polls", polls, "run_id long, polled_at timestamp_ntz, load_counter long, setup_id long, outcome string")
+    np = lambda c: f"https://np.example.org/RA{c * 43}"
+    feed = [(7, np("a"), 1, 0), (7, np("b"), 2, 0), (7, np("b"), 2, 5), (7, np("a"), 4, 3), (7, None, 3, 0), (5, np("a"), 1, 6), (5, np("c"), 2, 6), (5, np("c"), 4, 6)]
+    folder = put(spark, tmp_path, "window_feed", [(k, s, c, n, day(t)) for k, (s, c, n, t) in enumerate(feed)], "feed_id long, setup_id long, np_id string, load_number long, arrived_at timestamp_ntz")
+    changes = []
+
+    def spy(*args):
+        judged = classify(*args)
+        changes.append({r.change: r.n for r in judged.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()})
+        return judged
+
+    classify = data.classify
+    monkeypatch.setattr(data, "classify", spy)
+    assert rows(data.p4_found(spark, folder)) == [(1, 1), (2, 2), (2, 3), (4, 4), (7, 2), (8, 4)]
+    assert changes == [{"new": 2}, {"same": 2, "changed": 1}, {"changed": 1, "new": 2}]
