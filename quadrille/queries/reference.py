@@ -13,6 +13,7 @@ from quadrille.plans.templates import Template
 from quadrille.sources import bridge
 from quadrille.sources.tables import table
 from quadrille.sparql.engine import Engine
+from quadrille.streaming.feed import within
 
 QUERIES: dict = {}
 
@@ -114,10 +115,20 @@ def template_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- ingest
 
 
+#: Days for which a nanopub stays in the shard last30d.
+RECENT_DAYS = 30
+
+
+def with_newest(nanopubs: DataFrame) -> DataFrame:
+    """Nanopubs with the time of the newest of them, which stands for now."""
+    return nanopubs.crossJoin(F.broadcast(nanopubs.agg(F.max("created").alias("newest"))))
+
+
 @query
 def shard_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards and how many nanopubs each holds."""
-    return ingest.shards(bridge.event_nanopubs(spark, sf_dir)).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
+    since = F.col("newest") - F.make_interval(days=F.lit(RECENT_DAYS))
+    return ingest.shards(with_newest(bridge.event_nanopubs(spark, sf_dir)), since).groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -132,11 +143,9 @@ def xor_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def last30d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nanopubs of the ten days before the newest (the tables hold thirty)."""
-    n = bridge.event_nanopubs(spark, sf_dir)
-    newest = n.agg(F.max("created").alias("newest"))
-    return n.crossJoin(F.broadcast(newest)).where("created >= newest - INTERVAL 10 DAYS").select("np", "created")
+def last30d(spark: SparkSession, sf_dir: str, days: int = RECENT_DAYS) -> DataFrame:
+    """Nanopubs of the thirty days before the newest."""
+    return within(with_newest(bridge.event_nanopubs(spark, sf_dir)), "created", F.col("newest"), days).select("np", "created")
 
 
 @query

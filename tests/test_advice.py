@@ -48,3 +48,14 @@ def test_state_selects_what_runs_process(spark, rows, tmp_path, monkeypatch):
     monkeypatch.setattr(data, "classify", spy)
     assert rows(data.p4_found(spark, folder)) == [(1, 1), (2, 2), (2, 3), (4, 4), (7, 2), (8, 4)]
     assert changes == [{"new": 2}, {"same": 2, "changed": 1}, {"changed": 1, "new": 2}]
+
+
+def test_last30d_holds_thirty_days(spark, tmp_path):
+    ages = [0, 5, 11, 29.5, 30, 30.5, 45]
+    events = [(k, T0 - timedelta(days=a), 1, "view", 1.0, "{}") for k, a in enumerate(ages)]
+    folder = put(spark, tmp_path, "events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    age = F.datediff(F.lit(T0.date()), "created")
+    assert sorted(r[0] for r in reference.last30d(spark, folder).select(age).collect()) == [0, 5, 11, 30, 30]
+    assert reference.last30d(spark, folder, days=10).count() == 2
+    shards = {r.repo: r.n for r in reference.shard_fanout(spark, folder).collect()}
+    assert shards["last30d"] == 5 and shards["meta"] == len(ages)
