@@ -103,8 +103,9 @@ def _cuts(df: DataFrame, col: str, parts: int = BATCHES) -> list:
 
 
 def _part(df: DataFrame, col: str, cuts: list, k: int) -> DataFrame:
+    """Rows of the k-th part; those without a time are in the last one."""
     t = F.unix_micros(F.col(col).cast("timestamp"))
-    after = t > F.lit(cuts[k - 1]) if k else F.lit(True)
+    after = F.coalesce(t > F.lit(cuts[k - 1]), F.lit(True)) if k else F.lit(True)
     return df.where(after & (t <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True)))
 
 
@@ -149,8 +150,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every copy of a nanopub in the feed but the first."""
-    feed = table(spark, sf_dir, "window_feed").select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), F.coalesce(artifact_code("np_id"), clean("np_id")).alias("key"), "arrived_at", F.struct("arrived_at", "feed_id").alias("ord"), "feed_id")
+    """Every copy of a nanopub in the feed but the first; rows without a time come last."""
+    feed = table(spark, sf_dir, "window_feed").select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), F.coalesce(artifact_code("np_id"), clean("np_id")).alias("key"), "arrived_at", F.struct(F.col("arrived_at").isNull().alias("undated"), "arrived_at", "feed_id").alias("ord"), "feed_id")
     runs, seen, kept = spark.createDataFrame([], STATE_RUNS), spark.createDataFrame([], STATE_SEEN), None
     cuts = _cuts(feed, "arrived_at")
     for k in range(len(cuts) + 1):

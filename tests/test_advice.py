@@ -3,9 +3,10 @@
 import base64
 from datetime import datetime, timedelta
 
+from duck import connect
 from pyspark.sql import functions as F
 
-from quadrille.queries import data, reference
+from quadrille.queries import data, data_sql, reference
 
 T0 = datetime(2024, 1, 1)
 A, B = (base64.b64encode(bytes([k]) * 32).decode() for k in (0xFB, 0xFC))
@@ -59,3 +60,15 @@ def test_last30d_holds_thirty_days(spark, tmp_path):
     assert reference.last30d(spark, folder, days=10).count() == 2
     shards = {r.repo: r.n for r in reference.shard_fanout(spark, folder).collect()}
     assert shards["last30d"] == 5 and shards["meta"] == len(ages)
+
+
+def test_rows_without_a_time_are_copies_of_others_only(spark, tmp_path):
+    np = lambda c: f"https://np.example.org/RA{c * 43}"
+    feed = [("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 6), ("only", None), ("twice", None), ("twice", None), ("a", None), ("f", None), ("late", None), ("late", 6), ("b", 6)]
+    names = {n: chr(ord("a") + k) for k, n in enumerate(dict.fromkeys(n for n, _ in feed))}
+    schema = "feed_id long, setup_id long, np_id string, load_number long, arrived_at timestamp_ntz"
+    for case, part in (("mixed", feed), ("undated", [(n, None) for n, _ in feed])):
+        folder = put(spark, tmp_path / case, "window_feed", [(k, 1, np(names[n]), k + 1, T0 + timedelta(days=t) if t else None) for k, (n, t) in enumerate(part)], schema)
+        got = sorted(r.feed_id for r in data.p5_found(spark, folder).collect())
+        assert got == sorted(r[0] for r in connect(folder.removeprefix("file://")).sql(data_sql.SQL["p5_found"]).fetchall())
+        assert case == "undated" or got == [8, 9, 10, 11, 13]
