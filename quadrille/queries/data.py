@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrille.functions.text import artifact_code, base64_bytes, clean, clean_lower, unpack_key
+from quadrille.functions.text import artifact_code, base64_key, clean, clean_lower, unpack_key
 from quadrille.operators.cells import snapshot_changes
 from quadrille.operators.chunkdiff import differences
 from quadrille.operators.firstmatch import first_reading
@@ -82,7 +82,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between the latest reports of the two instances."""
     rows = table(spark, sf_dir, "repo_status").select(
-        clean("instance").alias("instance"), F.regexp_replace(clean("repo"), "^(pubkey|type)/", "$1_").alias("repo"), "np_count", F.base64(base64_bytes("checksum")).alias("checksum"), "reported_at", "status_row"
+        clean("instance").alias("instance"), F.regexp_replace(clean("repo"), "^(pubkey|type)/", "$1_").alias("repo"), "np_count", base64_key("checksum").alias("checksum"), "reported_at", "status_row"
     ).where("repo is not null and instance in ('inst-a', 'inst-b')")
     order = F.struct("reported_at", "status_row")
     latest = rows.groupBy("instance", "repo").agg(F.max(F.struct(order.alias("o"), "np_count", "checksum")).alias("v")).select("instance", "repo", "v.np_count", "v.checksum")

@@ -72,3 +72,10 @@ def test_rows_without_a_time_are_copies_of_others_only(spark, tmp_path):
         got = sorted(r.feed_id for r in data.p5_found(spark, folder).collect())
         assert got == sorted(r[0] for r in connect(folder.removeprefix("file://")).sql(data_sql.SQL["p5_found"]).fetchall())
         assert case == "undated" or got == [8, 9, 10, 11, 13]
+
+
+def test_checksums_that_are_not_base64_differ(spark, rows, tmp_path):
+    values = {"null": ("abcde", None), "two": ("abcde", "fghij"), "same": ("ab*-=", " ab*+"), "half": ("abcde", A), "nulls": (None, " ")}
+    folder = status(spark, tmp_path, {repo: ((1, a), (1, b)) for repo, (a, b) in values.items()})
+    want = connect(folder.removeprefix("file://")).sql(data_sql.SQL["p3_found"]).fetchall()
+    assert rows(data.p3_found(spark, folder)) == sorted(want) == [(repo, "checksum") for repo in ("half", "null", "two")]
