@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.operators.runs import compress, match
+from quadrille.operators.runs import WIDTH, compress, match
 from quadrille.session import materialize
 
-#: Keys are numbered in blocks, each small enough to be sorted by one task.
+#: Blocks of the integers that stand for keys, each small enough to be sorted by one task.
 BLOCKS = 4096
 #: A key with more than this share of the references is joined apart; there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_LEAST = 1 / 2000, 100_000
 
 
-def number_keys(keys: DataFrame, key: str, blocks: int = BLOCKS) -> DataFrame:
-    """Consecutive integers (id, from 1) for the distinct keys of each block, in the order of the keys."""
-    x = keys.withColumn("kblock", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-    return x.withColumn("id", F.row_number().over(Window.partitionBy("kblock").orderBy(key)).cast("long"))
+def integer_key(df: DataFrame, blocks: int = BLOCKS) -> tuple[Column, int]:
+    """The integer that stands for a key, and the width of a block of them: integers stand for themselves, other keys
+    are hashed to 64 bits, which spreads them evenly over the blocks."""
+    if dict(df.dtypes)["key"] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col("key").cast("long"), WIDTH
+    return F.xxhash64("key"), 1 << (64 - max(1, (blocks - 1).bit_length()))
 
 
 def orphans(refs: DataFrame, parents: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -28,32 +30,33 @@ def orphans(refs: DataFrame, parents: DataFrame, blocks: int = BLOCKS) -> DataFr
     first that fits: ``missing`` (null key, or a key that no parent has), ``late`` (since > at), ``deleted``
     (until <= at). A reference without a time can only be missing; a parent without ``since`` exists from the start.
 
-    The distinct keys of both sides are numbered in sorted order. The numbers that parents hold are compressed to
-    runs; a reference is matched to the last run that starts at or before its number and is an orphan beyond its end.
-    Rows are joined only with the keys that can make an orphan of them.
+    The sorted integers of the parents' keys are compressed to runs; the integer of a referenced key is matched to the
+    last run that starts at or before it, and is missing beyond the run's end. Only keys inside a run are looked up
+    among the parents, for their times and, where the integer is a hash, to make sure of the key. Referenced keys are
+    combined before they are matched; rows are joined only with the keys that can make an orphan of them.
     """
     spark = refs.sparkSession
+    kind = dict(refs.dtypes)["key"]
     own = [c for c in refs.columns if c not in ("key", "at", "reason")]
     refs = refs.select("key", "at", F.struct(*(F.col(f"`{c}`") for c in own), F.lit(0).alias("_")).alias("_own"))
-    none = F.lit(None).cast("timestamp")
-    r = refs.where("key is not null").select("key", F.col("at").alias("a"), F.col("at").alias("b"), none.alias("since"), none.alias("until"), F.lit(0).alias("parent"), F.lit(1).alias("n"))
-    p = parents.where("key is not null").select("key", none.alias("a"), none.alias("b"), "since", "until", F.lit(1).alias("parent"), F.lit(0).alias("n"))
-    both = r.unionByName(p).groupBy("key").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("since").alias("since"), F.min("until").alias("until"), F.max("parent").alias("parent"), F.sum("n").alias("n"))
-    numbered, _ = materialize(number_keys(both, "key", blocks), "keys")
-    runs = compress(numbered.where("parent = 1"), ["kblock"], "id", 1 << 62)
-    matched = match(numbered.where("n > 0").drop("parent"), runs, ["kblock"], "id", 1 << 62)
-    suspects = matched.where("not covered or since > a or until <= b").select("key", "covered", "since", "until", "n")
-    total = numbered.agg(F.sum("n")).first()[0] or 0
+    num, width = integer_key(refs, blocks)
+    asked = refs.where("key is not null").groupBy("key").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n")).withColumn("num", num)
+    held, _ = materialize(parents.where("key is not null").select(F.col("key").cast(kind).alias("key"), "since", "until").groupBy("key").agg(F.min("since").alias("since"), F.min("until").alias("until")).withColumn("num", num), "parents")
+    matched, _ = materialize(match(asked, compress(held, [], "num", width), [], "num", width).select("key", "a", "b", "n", "num", "covered"), "matched")
+    beyond = matched.where("not covered").select("key", F.lit(False).alias("held"), F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("until"), "n")
+    inside = matched.where("covered").join(held.select("num", "key", "since", "until", F.lit(True).alias("held")), ["num", "key"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    suspects, _ = materialize(beyond.unionByName(inside.where("not held or since > a or until <= b").select(*beyond.columns)), "suspects")
+    total = matched.agg(F.sum("n")).first()[0] or 0
     hot_n = max(HOT_LEAST, total * HOT_SHARE)
-    hot = [x[0] for x in numbered.where(F.col("n") > hot_n).select("key").collect()]  # fewer than 1 / HOT_SHARE keys
+    hot = [x[0] for x in matched.where(F.col("n") > hot_n).select("key").collect()]  # fewer than 1 / HOT_SHARE keys
     named = refs.where("key is not null")
     if hot:
-        keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key string"))
+        keys = F.broadcast(spark.createDataFrame([(k,) for k in hot], f"key {kind}"))
         apart = named.join(F.broadcast(suspects.join(keys, "key", "left_semi")), "key")
         joined = apart.unionByName(named.join(keys, "key", "left_anti").join(suspects.join(keys, "key", "left_anti"), "key"))
     else:
         joined = named.join(suspects, "key")
-    reason = F.when(~F.col("covered"), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
+    reason = F.when(~F.col("held"), "missing").when(F.col("since") > F.col("at"), "late").when(F.col("until") <= F.col("at"), "deleted")
     found = joined.withColumn("reason", reason).where("reason is not null").select("key", "at", "_own", "reason")
     found = found.unionByName(refs.where("key is null").select("key", "at", "_own", F.lit("missing").alias("reason")))
     return found.select("key", "at", *(F.col("_own")[c].alias(c) for c in own), "reason")

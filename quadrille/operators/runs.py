@@ -10,6 +10,8 @@ WIDTH = 1 << 16
 
 
 def block_of(num: Column, width: int = WIDTH) -> Column:
+    if width & (width - 1) == 0:
+        return F.shiftright(num.cast("long"), width.bit_length() - 1)
     return F.floor(num / F.lit(width)).cast("long")
 
 
