@@ -9,25 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrille.session import hadoop_path
-
-
-def _replace(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file by an atomic rename."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs, target = hadoop_path(spark, path)
-    _, draft = hadoop_path(spark, f"{path}.next-{uuid.uuid4().hex}")
-    out = fs.create(draft)
-    out.write(bytearray(text.encode()))
-    out.close()
-    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, over)
-
-
-def _read(spark: SparkSession, path: str) -> str | None:
-    fs, p = hadoop_path(spark, path)
-    return "\n".join(r[0] for r in spark.read.text(path).collect()) if fs.exists(p) else None
+from quadrille.session import hadoop_path, read_text, replace_text
 
 
 @dataclass
@@ -46,11 +28,11 @@ class EngineState:
     repo_init_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        _replace(spark, path, json.dumps(asdict(self)))
+        replace_text(spark, path, json.dumps(asdict(self)))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EngineState:
-        text = _read(spark, path)
+        text = read_text(spark, path)
         return cls(**json.loads(text)) if text else cls()
 
 
@@ -121,14 +103,14 @@ class SnapshotStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def current(self) -> str | None:
-        return _read(self.spark, f"{self.path}/CURRENT")
+        return read_text(self.spark, f"{self.path}/CURRENT")
 
     def stage(self, tables: dict[str, DataFrame], version: str) -> None:
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/{version}/{name}")
 
     def flip(self, version: str) -> None:
-        _replace(self.spark, f"{self.path}/CURRENT", version)
+        replace_text(self.spark, f"{self.path}/CURRENT", version)
 
     def publish(self, tables: dict[str, DataFrame], version: str) -> None:
         self.stage(tables, version)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions.text import artifact_code, base64_key, clean, clean_lower, unpack_key
@@ -10,9 +12,9 @@ from quadrille.operators.cells import snapshot_changes
 from quadrille.operators.chunkdiff import differences
 from quadrille.operators.firstmatch import first_reading
 from quadrille.operators.history import believed, build_ledger
-from quadrille.operators.incremental import VersionedState, classify, content_hash
+from quadrille.operators.incremental import VersionedState, classify, content_hash, process
 from quadrille.operators.references import orphans, report
-from quadrille.operators.sequences import STATE_RUNS, STATE_SEEN, accept, advance
+from quadrille.operators.sequences import STATE_RUNS, STATE_SEEN, accept, advance_runs
 from quadrille.plans.snapshots import Snapshots, read_snapshots
 from quadrille.session import broadcast_if_small, materialize, scratch
 from quadrille.sources.tables import table
@@ -102,63 +104,75 @@ def _cuts(df: DataFrame, col: str, parts: int = BATCHES) -> list:
     return cuts or []
 
 
-def _part(df: DataFrame, col: str, cuts: list, k: int) -> DataFrame:
-    """Rows of the k-th part; those without a time are in the last one."""
-    t = F.unix_micros(F.col(col).cast("timestamp"))
-    after = F.coalesce(t > F.lit(cuts[k - 1]), F.lit(True)) if k else F.lit(True)
-    return df.where(after & (t <= F.lit(cuts[k]) if k < len(cuts) else F.lit(True)))
+def _part(col: str, cuts: list) -> Column:
+    """The part a row falls into; rows without a time are in the last one."""
+    t, part = F.unix_micros(F.col(col).cast("timestamp")), F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        part = F.when(t <= F.lit(cuts[k]), k).otherwise(part)
+    return part
 
 
 def successful_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, setup_id, load_counter, polled_at, setup_rank (place of the setup in time) of the successful runs."""
+    """run_id, setup_id, load_counter, polled_at of the successful runs, and the place of their setup in time."""
     polls = table(spark, sf_dir, "registry_polls").where(clean("outcome") == "ok").where("setup_id is not null and load_counter is not null and polled_at is not null")
-    ranks = polls.groupBy("setup_id").agg(F.min("polled_at").alias("began")).withColumn("setup_rank", F.row_number().over(Window.orderBy("began", "setup_id")))
-    return polls.select("run_id", "setup_id", "load_counter", "polled_at").join(ranks.select("setup_id", "setup_rank"), "setup_id")
+    places = polls.groupBy("setup_id").agg(F.min(F.unix_micros(F.col("polled_at").cast("timestamp"))).alias("began")).select("setup_id", F.struct("began", "setup_id").alias("place"))
+    return polls.select("run_id", "setup_id", "load_counter", "polled_at").join(places, "setup_id")
 
 
 def sightings(feed: DataFrame, runs: DataFrame) -> DataFrame:
     """All that the runs see of the feed, whatever other runs saw, each with the first of them: setup_id, load_number, code,
-    run_id, polled_at, setup_rank. ``feed``: setup_id, load_number, code, arrived_at."""
+    run_id, polled_at, place. ``feed``: setup_id, load_number, code, arrived_at."""
     readings = runs.select(F.col("setup_id").alias("grp"), F.col("polled_at").alias("at"), F.col("load_counter").alias("lvl"), F.col("run_id").alias("id"))
     points = feed.select(F.col("setup_id").alias("grp"), F.col("arrived_at").alias("at"), F.col("load_number").alias("lvl"), "code")
     seen = first_reading(points, readings).select(F.col("grp").alias("setup_id"), F.col("lvl").alias("load_number"), "code", F.col("id").alias("run_id"))
-    return seen.join(runs.select("run_id", "polled_at", "setup_rank"), "run_id")
+    return seen.join(runs.select("run_id", "polled_at", "place"), "run_id")
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The load numbers each successful run had to process.
+STATE_DUE = "code string, content_hash string, place struct<began: bigint, setup_id: bigint>"
+
+
+def due_numbers(rows: DataFrame, state: VersionedState, work) -> None:
+    """One span of runs: what they see passes through the keyed state, and what is due goes to ``work``. The key is the
+    nanopub, its contents the numbers it was seen under; a number that the state does not hold is due, unless the
+    nanopub was seen under an earlier setup. Rows without a nanopub are always due."""
+    places, cols = state.read().select("code", "place"), ["setup_id", "load_number", "polled_at", "run_id"]
 
-    The runs are replayed in a few spans of time. All that those of a span see passes through the keyed state. The key
-    is the nanopub, its contents the numbers it was seen under; a number that the state does not hold is due, unless
-    the nanopub was seen under an earlier setup."""
-    runs, _ = materialize(successful_runs(spark, sf_dir), "runs")
+    def select(fresh: DataFrame) -> None:
+        earliest = places.unionByName(fresh.select("code", "place")).groupBy("code").agg(F.min("place").alias("earliest"))
+        known = fresh.join(earliest, "code").where("place <= earliest")
+        work(known.select(*cols).unionByName(rows.where("code is null").select(*cols)))
+
+    process(rows.where("code is not null"), state, ["code"], select, classify)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load numbers each successful run had to process. The runs are replayed in a few spans of time, of which each
+    reads the state the one before put in force; see due_numbers()."""
+    runs, size = materialize(successful_runs(spark, sf_dir), "runs")
     feed = table(spark, sf_dir, "window_feed").groupBy("setup_id", "load_number", F.coalesce(artifact_code("np_id"), clean("np_id")).alias("code")).agg(F.min("arrived_at").alias("arrived_at"))
     feed, _ = materialize(feed, "feed")
-    state = VersionedState(spark, scratch(spark, "p4-state"), "code string, content_hash string, setup_rank int")
-    cuts, out = _cuts(runs, "polled_at"), None
+    state = VersionedState(spark, scratch(spark, "p4-state"), STATE_DUE)
+    cuts, out = _cuts(runs, "polled_at"), []
     for k in range(len(cuts) + 1):
-        rows, _ = materialize(sightings(feed, _part(runs, "polled_at", cuts, k)).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
-        held = state.read()
-        fresh, _ = materialize(classify(rows.where("code is not null"), held, ["code"]).where("change <> 'same'").drop("change"), "fresh")
-        earliest = held.select("code", "setup_rank").unionByName(fresh.select("code", "setup_rank")).groupBy("code").agg(F.min("setup_rank").alias("earliest"))
-        due = fresh.join(earliest, "code").where("setup_rank <= earliest").unionByName(rows.where("code is null"), allowMissingColumns=True)
-        done, _ = materialize(due.select("setup_id", "load_number", "polled_at", "run_id"), "due")
-        out = done if out is None else out.unionByName(done)
-        state.swap(state.stage(held.unionByName(fresh.select("code", "content_hash", "setup_rank"))))
-    per = out.groupBy("setup_id", "load_number").agg(F.min_by("run_id", F.struct("polled_at", "run_id")).alias("run_id"))
+        span = runs.where(_part("polled_at", cuts) == k)
+        own = feed.join(broadcast_if_small(span.select("setup_id").distinct(), size), "setup_id", "left_semi")
+        rows, _ = materialize(sightings(own, span).withColumn("content_hash", content_hash("setup_id", "load_number")), "sightings")
+        due_numbers(rows, state, lambda due: out.append(materialize(due, "due")[0]))
+    per = reduce(DataFrame.unionByName, out).groupBy("setup_id", "load_number").agg(F.min_by("run_id", F.struct("polled_at", "run_id")).alias("run_id"))
     return per.select("run_id", "load_number")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy of a nanopub in the feed but the first; rows without a time come last."""
-    feed = table(spark, sf_dir, "window_feed").select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), F.coalesce(artifact_code("np_id"), clean("np_id")).alias("key"), "arrived_at", F.struct(F.col("arrived_at").isNull().alias("undated"), "arrived_at", "feed_id").alias("ord"), "feed_id")
-    runs, seen, kept = spark.createDataFrame([], STATE_RUNS), spark.createDataFrame([], STATE_SEEN), None
-    cuts = _cuts(feed, "arrived_at")
+    feed = table(spark, sf_dir, "window_feed")
+    key, cuts = F.coalesce(artifact_code("np_id"), clean("np_id")), _cuts(feed, "arrived_at")
+    own = feed.select(F.col("setup_id").alias("producer"), F.col("load_number").alias("number"), key.alias("key"), F.struct(F.col("arrived_at").isNull().alias("undated"), "arrived_at", "feed_id").alias("ord"), _part("arrived_at", cuts).alias("part"))
+    messages, _ = materialize(own.where("key is not null").groupBy("part", "producer", "number", "key").agg(F.min("ord").alias("ord")), "messages", ("part",))
+    runs, seen, kept = spark.createDataFrame([], STATE_RUNS), VersionedState(spark, scratch(spark, "p5-seen"), STATE_SEEN), []
     for k in range(len(cuts) + 1):
-        new, ids = accept(_part(feed, "arrived_at", cuts, k), runs, seen)
-        new, _ = materialize(new, "kept")
-        ids, _ = materialize(ids, "ids")
-        runs, seen = advance(ids, runs, seen)
-        runs, _ = materialize(runs, "runs")
-        kept = new if kept is None else kept.unionByName(new)
-    return feed.where("key is not null").select("feed_id").join(kept.select(F.col("first.feed_id").alias("feed_id")), "feed_id", "left_anti")
+        new, ids = accept(messages.where(F.col("part") == k).drop("part"), runs, seen.read())
+        kept.append(materialize(new.select(F.col("first.feed_id").alias("feed_id")), "kept")[0])
+        if k < len(cuts):
+            runs, _ = materialize(advance_runs(ids, runs), "runs")
+            seen.swap(seen.stage(ids))
+    return feed.where(clean("np_id").isNotNull()).select("feed_id").join(reduce(DataFrame.unionByName, kept), "feed_id", "left_anti")

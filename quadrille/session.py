@@ -33,10 +33,13 @@ def build_session(app: str = "quadrille", cpus: str = "*", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset a temporary one serves a local session,
+    and a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     base = f"file://{tempfile.mkdtemp(prefix='quadrille-')}"
     spark.sparkContext.setCheckpointDir(base)
     spark.conf.set("spark.checkpoint.dir", base)
@@ -75,12 +78,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors and
-    gives the optimizer exact sizes. Returns the table and the bytes of its files."""
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file by an atomic rename."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, target = hadoop_path(spark, path)
+    _, draft = hadoop_path(spark, f"{path}.next-{uuid.uuid4().hex}")
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, over)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file, or null if it is not there."""
+    fs, p = hadoop_path(spark, path)
+    return "\n".join(r[0] for r in spark.read.text(path).collect()) if fs.exists(p) else None
+
+
+def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Write df to the shared folder, in a folder for each value of ``by``, and read it back: cuts the lineage,
+    survives lost executors and gives the optimizer exact sizes. Returns the table and the bytes of its files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), size_of(spark, path)
 
 
