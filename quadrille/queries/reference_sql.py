@@ -1,7 +1,7 @@
 """The queries of reference.py in DuckDB's SQL."""
 
 from quadrille.model import NS
-from quadrille.plans.resolve import ADMIN, MAINTAINER, MEMBER, OBSERVER
+from quadrille.plans.resolve import ADMIN, GEN_SPACE, MAINTAINER, MEMBER, OBSERVER
 
 EX = "http://ex.org/"
 NP = "'https://np.example.org/RA' || substr(sha256(CAST({} AS VARCHAR)), 1, 43)"
@@ -28,7 +28,7 @@ def _checksum(window: str = "") -> str:
     return f"to_base64(unhex({' || '.join(words)}))"
 
 
-_SPACES = f"""
+_GRANTS = f"""
 nat AS (SELECT n_nationkey, 'n' || n_nationkey AS ref, '{EX}' || r_name || '/' || n_name AS space, '{EX}' || r_name AS prefix FROM nation JOIN region ON n_regionkey = r_regionkey),
 acct AS (SELECT '{EX}agent/' || c_custkey AS agent, sha256('ck' || c_custkey) AS pk, c_custkey, c_nationkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
 root AS (SELECT ref, '{EX}agent/' || min(c_custkey) AS agent FROM acct JOIN nat ON c_nationkey = n_nationkey GROUP BY ref),
@@ -37,16 +37,84 @@ o AS (
          '{EX}agent/' || lead(o_custkey) OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS agent, '{EX}role/' || o_orderpriority AS role, '{EX}pred/' || o_orderpriority AS pred
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nat ON c_nationkey = n_nationkey),
 pubd AS (SELECT o.*, a.agent AS pub FROM o JOIN acct a ON a.agent = o.pub0 WHERE o.agent IS NOT NULL),
-adm AS (
-  SELECT g.ref, g.agent FROM pubd g JOIN root r ON r.ref = g.ref AND r.agent = g.pub WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
-  UNION SELECT g.ref, g.agent FROM pubd g JOIN adm a ON a.ref = g.ref AND a.agent = g.pub WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')),
-att AS (SELECT DISTINCT g.ref, g.role FROM pubd g JOIN adm a ON a.ref = g.ref AND a.agent = g.pub WHERE o_orderstatus = 'P'),
+rev AS (
+  SELECT ref, agent, pub AS by_, o_orderdate AS tm, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'admin' ELSE role END AS role FROM pubd WHERE o_orderstatus = 'F'),
+admrev AS (SELECT v.ref, v.agent, v.by_, v.tm FROM rev v LEFT JOIN root r ON r.ref = v.ref AND r.agent = v.agent WHERE v.role = 'admin' AND r.ref IS NULL),
+offer AS (
+  SELECT g.ref, g.agent, g.pub, g.o_orderdate AS tm FROM pubd g LEFT JOIN (SELECT ref, agent, max(tm) AS last FROM admrev WHERE by_ = agent GROUP BY 1, 2) s ON s.ref = g.ref AND s.agent = g.agent
+  WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND (s.last IS NULL OR s.last < g.o_orderdate)),
+adm(ref, agent) USING KEY (ref, agent) AS (
+  SELECT DISTINCT g.ref, g.agent FROM offer g JOIN root r ON r.ref = g.ref AND r.agent = g.pub
+  UNION
+  SELECT DISTINCT g.ref, g.agent FROM offer g JOIN adm a ON a.ref = g.ref AND a.agent = g.pub
+    LEFT JOIN recurring.adm k ON k.ref = g.ref AND k.agent = g.agent
+    LEFT JOIN (SELECT v.ref, v.agent, max(v.tm) AS last FROM admrev v JOIN recurring.adm k ON k.ref = v.ref AND k.agent = v.by_ GROUP BY 1, 2) s ON s.ref = g.ref AND s.agent = g.agent
+  WHERE k.ref IS NULL AND (s.last IS NULL OR s.last < g.tm))"""
+_ATTACHED = """
+att AS (SELECT DISTINCT g.ref, g.role FROM pubd g JOIN adm a ON a.ref = g.ref AND a.agent = g.pub WHERE o_orderstatus = 'P')"""
+_ROLES = """
 inst AS (SELECT g.* FROM pubd g JOIN att USING (ref, role) WHERE o_orderstatus = 'O'),
 maint AS (SELECT DISTINCT i.ref, i.agent, i.role, i.np FROM inst i JOIN adm a ON a.ref = i.ref AND a.agent = i.pub WHERE o_orderpriority = '1-URGENT'),
 may2 AS (SELECT ref, agent FROM adm UNION SELECT ref, agent FROM maint),
 memb AS (SELECT DISTINCT i.ref, i.agent, i.role, i.np FROM inst i JOIN may2 a ON a.ref = i.ref AND a.agent = i.pub WHERE o_orderpriority = '2-HIGH'),
 may3 AS (SELECT * FROM may2 UNION SELECT ref, agent FROM memb),
-obs AS (SELECT DISTINCT i.ref, i.agent, i.role, i.np FROM inst i LEFT JOIN may3 a ON a.ref = i.ref AND a.agent = i.pub WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND (a.ref IS NOT NULL OR i.pub = i.agent))"""
+rolrev AS (SELECT v.ref, v.agent, v.role, max(v.tm) AS last FROM rev v LEFT JOIN may3 a ON a.ref = v.ref AND a.agent = v.by_ WHERE v.role <> 'admin' AND (a.ref IS NOT NULL OR v.by_ = v.agent) GROUP BY 1, 2, 3),
+obs AS (
+  SELECT DISTINCT i.ref, i.agent, i.role, i.np FROM inst i LEFT JOIN may3 a ON a.ref = i.ref AND a.agent = i.pub LEFT JOIN rolrev v ON v.ref = i.ref AND v.agent = i.agent AND v.role = i.role
+  WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AND (a.ref IS NOT NULL OR i.pub = i.agent) AND (v.last IS NULL OR v.last < i.o_orderdate))"""
+
+_SPACES = f"{_GRANTS},{_ATTACHED},{_ROLES}"
+
+# the roots of nations name themselves admins
+_SELF = "(s.last IS NULL OR s.last < g.o_orderdate)"
+_ROOTED = _GRANTS.replace(_SELF, _SELF + " UNION ALL SELECT ref, agent, agent, TIMESTAMP '2024-01-01' FROM root")
+_AUTH = f"""
+apr AS (SELECT c_nationkey AS nk, agent, pk, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rk FROM acct),
+sup AS (
+  SELECT s.nk, s.rk, a.agent, n.space AS above, 's' || s_suppkey AS ref, n.space || '/s' || s_suppkey AS space
+  FROM (SELECT s_suppkey, s_nationkey AS nk, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS rk FROM supplier) s JOIN apr a ON a.nk = s.nk AND a.rk = s.rk JOIN nat n ON n.n_nationkey = s.nk),
+p0 AS (
+  SELECT p_partkey, p_type, p_size AS size, split_part(p_name, ' ', 1) AS colour, p_name < 'm' AS first, CAST(split_part(p_brand, '#', 2) AS BIGINT) - 1 AS nk, {NP.format("'p' || p_partkey")} AS np,
+         TIMESTAMP '2024-01-01' + p_partkey * INTERVAL 1 MINUTE AS created, '{EX}role/' || ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][least((p_size - 1) // 10 + 1, 5)] AS role FROM part),
+p AS (
+  SELECT p0.*, n.space, n.ref, a.agent, a.pk, a.rk FROM p0 JOIN nat n ON n.n_nationkey = p0.nk
+  JOIN apr a ON a.nk = CASE WHEN p_type = 'ECONOMY' AND NOT first AND size > 25 THEN (p0.nk + 1) % 25 ELSE p0.nk END AND a.rk = (size - 1) % 25 // 10 + 1),
+gone AS (
+  SELECT target FROM (SELECT colour, lag(np) OVER (PARTITION BY pk ORDER BY p_partkey) AS target FROM p) WHERE colour = 'hot' AND target IS NOT NULL
+  UNION SELECT b.np FROM p a JOIN p b ON b.p_partkey = a.p_partkey - 1 AND a.pk = b.pk WHERE a.colour = 'red'),
+live AS (SELECT * FROM p WHERE np NOT IN (SELECT target FROM gone)),
+adms AS (SELECT a.ref, n.space, a.agent FROM adm a JOIN nat n ON n.ref = a.ref UNION ALL SELECT ref, space, agent FROM sup),
+refs AS (SELECT ref, space, prefix FROM nat UNION ALL SELECT 'r' || r_regionkey, '{EX}' || r_name, NULL FROM region UNION ALL SELECT ref, space, above FROM sup),
+als AS (SELECT l.*, coalesce(s.space, '{EX}alias/' || l.nk || '-' || size) AS alias FROM live l LEFT JOIN sup s ON s.nk = l.nk AND s.rk = l.rk WHERE p_type = 'MEDIUM'),
+alias AS (
+  SELECT DISTINCT l.alias, l.space AS canonical, l.ref, l.np FROM als l JOIN adms a ON a.ref = l.ref AND a.agent = l.agent
+  WHERE NOT EXISTS (SELECT 1 FROM adms f WHERE f.space = l.alias AND NOT EXISTS (SELECT 1 FROM adms k WHERE k.ref = l.ref AND k.agent = f.agent))),
+decl AS (
+  SELECT s.space AS child, l.space AS parent, np, l.agent AS pub FROM live l JOIN sup s ON s.nk = l.nk AND s.rk = l.rk WHERE p_type = 'ECONOMY' AND first
+  UNION ALL SELECT l.space, n.space, np, agent FROM live l JOIN nat n ON n.n_nationkey = (l.nk + 1) % 25 WHERE p_type = 'ECONOMY' AND NOT first),
+sub AS (
+  SELECT DISTINCT c.ref AS child_ref, q.ref AS parent_ref, child, parent, d.np FROM decl d JOIN adms c ON c.space = child AND c.agent = pub JOIN adms q ON q.space = parent AND q.agent = pub
+  UNION SELECT c.ref, q.ref, d.child, d.parent, d.np FROM decl d JOIN decl e ON e.child = d.child AND e.parent = d.parent AND e.np <> d.np
+    JOIN adms c ON c.space = d.child AND c.agent IN (d.pub, e.pub) JOIN adms q ON q.space = d.parent AND q.agent IN (d.pub, e.pub)),
+maintained AS (SELECT DISTINCT '{EX}res/' || l.nk || '-' || size AS resource, l.ref, l.space, np FROM live l JOIN adms a ON a.ref = l.ref AND a.agent = l.agent WHERE p_type = 'LARGE'),
+prefixed AS (SELECT DISTINCT c.ref AS child_ref, q.ref AS parent_ref, c.space AS child, q.space AS parent FROM refs c JOIN refs q ON q.space = c.prefix WHERE c.ref <> q.ref AND c.space NOT IN (SELECT child FROM sub)),
+governing AS (SELECT resource, ref FROM maintained UNION SELECT space, ref FROM refs),
+newest AS (SELECT *, '{EX}kind/' || nk AS kind, CASE WHEN size <= 40 THEN '{GEN_SPACE}' ELSE '{EX}Other' END AS applies_to FROM live WHERE p_type = 'PROMO' QUALIFY row_number() OVER (PARTITION BY nk ORDER BY created DESC) = 1),
+stamp AS (SELECT DISTINCT l.ref, np AS pa, size <= 30 AS active, l.space, '{EX}preset/' || nk AS preset, created, nk, np FROM p l JOIN adms a ON a.ref = l.ref AND a.agent = l.agent WHERE p_type = 'SMALL'),
+assigned AS (SELECT * FROM (SELECT * FROM stamp QUALIFY row_number() OVER (PARTITION BY ref, preset ORDER BY created DESC) = 1) WHERE np IN (SELECT np FROM live)),
+detached AS (SELECT l.ref, l.role, max(created) AS last FROM p l JOIN adms a ON a.ref = l.ref AND a.agent = l.agent WHERE p_type = 'STANDARD' GROUP BY 1, 2),
+offered AS (
+  SELECT g.ref, g.role, g.np, g.o_orderdate AS tm, 0 AS preset FROM pubd g JOIN adm a ON a.ref = g.ref AND a.agent = g.pub WHERE o_orderstatus = 'P'
+  UNION ALL SELECT s.ref, n.role, s.np, s.created, 1 FROM assigned s JOIN newest n ON n.nk = s.nk WHERE active AND n.size <= 40),
+attached AS (
+  SELECT o.* FROM offered o LEFT JOIN detached d ON d.ref = o.ref AND d.role = o.role WHERE d.last IS NULL OR d.last < o.tm QUALIFY row_number() OVER (PARTITION BY o.ref, o.role ORDER BY preset, tm, np) = 1),
+att AS (SELECT ref, role FROM attached)"""
+_EDGES = """
+edges AS (
+  SELECT child_ref AS s, 'isSubSpaceOf' AS p, parent_ref AS o FROM sub UNION SELECT parent_ref, 'hasSubSpace', child_ref FROM sub UNION SELECT child, 'isSubSpaceOf', parent FROM sub UNION SELECT parent, 'hasSubSpace', child FROM sub
+  UNION SELECT child_ref, 'isSubSpaceOf', parent_ref FROM prefixed UNION SELECT parent_ref, 'hasSubSpace', child_ref FROM prefixed UNION SELECT child, 'isSubSpaceOf', parent FROM prefixed UNION SELECT parent, 'hasSubSpace', child FROM prefixed
+  UNION SELECT resource, 'isMaintainedBy', ref FROM maintained UNION SELECT resource, 'isMaintainedBy', space FROM maintained UNION SELECT ref, 'hasMaintainedResource', resource FROM maintained UNION SELECT space, 'hasMaintainedResource', resource FROM maintained
+  UNION SELECT alias, 'sameAsSpace', ref FROM alias UNION SELECT alias, 'sameAsSpace', canonical FROM alias UNION SELECT resource, 'hasGoverningSpaceRef', ref FROM governing)"""
 
 _G = [("customer", "c_custkey", ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), ("orders", "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]), ("nation", "n_nationkey", ["n_name", "n_regionkey"]), ("region", "r_regionkey", ["r_name"]), ("supplier", "s_suppkey", ["s_name", "s_nationkey", "s_acctbal"])]
 _ADMIN_GRAPH = NS["npa"] + "graph"
@@ -107,19 +175,20 @@ pairs AS (SELECT * FROM up UNION SELECT src, src FROM up)
 SELECT p.src AS np, arg_max(p.dst, (b.ts, p.dst)) AS latest FROM pairs p JOIN ev a ON a.np = p.src JOIN ev b ON b.np = p.dst AND b.pk = a.pk
 WHERE p.dst NOT IN (SELECT target FROM dead) GROUP BY p.src""",
     "template_run": f"SELECT {_O} o_orderkey AS o, o_orderpriority AS p FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority IN ('1-URGENT', '2-HIGH')",
-    "shard_fanout": f"WITH {_SHARDS} SELECT repo, count(*) AS n FROM shard GROUP BY repo",
+    "shard_fanout": f"""WITH {_SHARDS} SELECT repo, count(*) AS n FROM shard GROUP BY repo
+UNION ALL SELECT 'last30d', count(*) FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 30 DAYS""",
     "running_load": f"""WITH {_SHARDS}
 SELECT repo, np, row_number() OVER w - 1 AS load_number, {_checksum(" OVER w")} AS load_checksum FROM shard
 WINDOW w AS (PARTITION BY repo ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "xor_checksum": f"WITH {_SHARDS} SELECT repo, count(*) AS np_count, {_checksum()} AS checksum FROM shard GROUP BY repo",
-    "last30d": f"WITH {_EV} SELECT np, ts AS created FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 10 DAYS",
+    "last30d": f"WITH {_EV} SELECT np, ts AS created FROM ev WHERE ts >= (SELECT max(ts) FROM ev) - INTERVAL 30 DAYS",
     "propagate_invalidation": f"""WITH {_EV}, x AS (SELECT DISTINCT r.np, b.pubkey, b.type, a.pubkey AS pubkey0, a.type AS type0 FROM rel r JOIN ev a ON a.np = r.np JOIN ev b ON b.np = r.target WHERE r.pred = 'invalidates')
 SELECT np, 'pubkey_' || sha256(pubkey) AS repo FROM x WHERE pubkey <> pubkey0 UNION SELECT np, 'type_' || sha256(type) FROM x WHERE type <> type0""",
     "valid_invalidations": f"WITH {_EV} SELECT inv, target FROM dead",
     "shard_missing": f"WITH {_SHARDS} SELECT repo, np FROM shard WHERE event_type = 'error' AND repo LIKE 'type_%'",
-    "fleet_consistency": r"""WITH r AS (SELECT trim(instance) AS instance, regexp_replace(trim(repo), '^(pubkey|type)/', '\1_') AS repo, np_count, reported_at, status_row FROM repo_status),
+    "fleet_consistency": r"""WITH r AS (SELECT trim(instance) AS instance, regexp_replace(trim(repo), '^(pubkey|type)/', '\1_') AS repo, np_count, reported_at, status_row, rtrim(translate(nullif(trim(checksum), ''), '-_', '+/'), '=') AS checksum FROM repo_status),
 l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY instance, repo ORDER BY reported_at DESC, status_row DESC) = 1)
-SELECT repo FROM l GROUP BY repo HAVING count(DISTINCT instance) < (SELECT count(DISTINCT instance) FROM l) OR count(DISTINCT coalesce(np_count, -1)) > 1""",
+SELECT repo FROM l GROUP BY repo HAVING count(DISTINCT instance) < (SELECT count(DISTINCT instance) FROM l) OR count(DISTINCT (coalesce(np_count, -1), coalesce(checksum, ''))) > 1""",
     "shard_counts": f"WITH {_SHARDS} SELECT CASE WHEN repo LIKE 'pubkey_%' THEN 'pubkey' WHEN repo LIKE 'type_%' THEN 'type' ELSE 'other' END AS kind, count(DISTINCT repo) AS n FROM shard GROUP BY 1",
     "hash_dictionary": "SELECT DISTINCT sha256('pk' || user_id) AS hash, 'pk' || user_id AS value, 'pubkey' AS kind FROM events",
     "iri_functions": r"""WITH s AS (SELECT *, trim(space_iri) AS i, regexp_replace(regexp_replace(trim(space_iri), '[#?].*$', ''), '/+$', '') AS b, nullif(trim(root_nanopub), '') AS root FROM space_rows)
@@ -147,6 +216,16 @@ tf AS (SELECT doc_id, len(ws) AS dl, q.word, len(list_filter(ws, lambda x: x = q
 df AS (SELECT word, count(*) AS df FROM tf WHERE tf > 0 GROUP BY word)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
 FROM tf JOIN df USING (word), stats WHERE tf > 0 GROUP BY doc_id HAVING count(*) = 3""",
+    "space_state_revoked": f"""WITH RECURSIVE {_SPACES}
+SELECT '{ADMIN}' AS tier, count(*) AS n FROM adm UNION ALL SELECT 'RoleAssignment', count(*) FROM att UNION ALL SELECT '{MAINTAINER}', count(DISTINCT (ref, agent, np)) FROM maint
+UNION ALL SELECT '{MEMBER}', count(DISTINCT (ref, agent, np)) FROM memb UNION ALL SELECT '{OBSERVER}', count(DISTINCT (ref, agent, np)) FROM obs""",
     "stream_ingest": f"WITH {_SHARDS} SELECT repo, count(*) AS n FROM shard GROUP BY repo",
 }
 SQL["incremental_cycle"] = SQL["space_state"]
+SQL["auth_state"] = SQL["auth_cycle"] = f"""WITH RECURSIVE {_ROOTED},{_AUTH},{_ROLES},{_EDGES}
+SELECT 'admin' AS tier, ref AS a, agent AS b, '' AS c FROM adms UNION ALL SELECT 'alias', ref, alias, np FROM alias UNION ALL SELECT 'subspace', child_ref, parent_ref, np FROM sub
+UNION ALL SELECT 'prefix', child_ref, parent_ref, '' FROM prefixed UNION ALL SELECT 'maintained', ref, resource, np FROM maintained UNION ALL SELECT 'governing', ref, resource, '' FROM governing
+UNION ALL SELECT 'stamp', ref, pa, CAST(active AS VARCHAR) FROM stamp WHERE np IN (SELECT np FROM live) UNION ALL SELECT 'attachment', ref, role, np FROM attached
+UNION ALL SELECT 'role', ref, agent || ' ' || role || ' {MAINTAINER}', np FROM maint UNION ALL SELECT 'role', ref, agent || ' ' || role || ' {MEMBER}', np FROM memb UNION ALL SELECT 'role', ref, agent || ' ' || role || ' {OBSERVER}', np FROM obs
+UNION ALL SELECT 'declaration', kind, role, np FROM newest UNION ALL SELECT 'assignment', ref, preset, pa FROM assigned UNION ALL SELECT 'detached', ref, role, strftime(last, '%Y-%m-%d %H:%M:%S') FROM detached
+UNION ALL SELECT 'edges', p, CAST(count(*) AS VARCHAR), '' FROM edges GROUP BY p"""
