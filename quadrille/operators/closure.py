@@ -10,16 +10,54 @@ from pyspark.sql import functions as F
 from quadrille.session import materialize
 
 
+def _jumps(edges: DataFrame, g: list[str], limit: int) -> DataFrame | None:
+    """The closure where each source has one edge: round k adds the pairs that are 2^k and more steps apart, each found
+    once, over the node 2^k steps on. None if the edges have a cycle, on which the steps never end."""
+    jump = pairs = edges
+    for _ in range(limit):
+        far = jump.select(*g, "src", F.col("dst").alias("_mid"))
+        more, _ = materialize(far.join(pairs.select(*g, F.col("src").alias("_mid"), "dst"), [*g, "_mid"]).select(*g, "src", "dst"), "pairs")
+        pairs = pairs.unionByName(more)
+        jump, _ = materialize(far.join(jump.select(*g, F.col("src").alias("_mid"), "dst"), [*g, "_mid"]).select(*g, "src", "dst"), "jump")
+        if not jump.limit(1).count():
+            return pairs
+    return None
+
+
+def best_below(edges: DataFrame, values: DataFrame, by: list[str]) -> DataFrame | None:
+    """For every node the greatest value of itself and of all that reach it: node, the columns of ``by``, val.
+
+    ``edges``: src, dst, one for each src. ``values``: node, by, val (orderable). Round k hands what each node knows of
+    its surroundings to the node 2^k steps on, so neither pairs are built nor paths walked. None if a source has
+    several edges or there is a cycle."""
+    edges, _ = materialize(edges.select("src", "dst").dropna().distinct(), "edges")
+    stats = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("nodes")).first()
+    if (stats["most"] or 0) > 1:
+        return None
+    jump, best = edges, values.select("node", *by, "val")
+    for _ in range((stats["nodes"] or 0).bit_length() + 1):
+        handed = jump.join(best.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), *by, "val")
+        best, _ = materialize(best.unionByName(handed).groupBy("node", *by).agg(F.max("val").alias("val")), "best")
+        jump, _ = materialize(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")), "jump")
+        if not jump.limit(1).count():
+            return best
+    return None
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, group: Sequence[str] = (), limit: int = 100_000) -> DataFrame:
     """Pairs (src, dst) that a path of one edge or more joins, once each; edges: src, dst and the columns of ``group``,
     within whose values paths stay. With ``seeds`` (src) only paths from there.
 
     Semi-naive: each round extends only the pairs that the last one found. Without seeds they are extended by all
-    pairs known so far, so the number of rounds is logarithmic in the longest path. Cycles end as nothing new is
-    found. Each round is written to the shared folder, which cuts the lineage. Nulls join nothing."""
+    pairs known so far, so the number of rounds is logarithmic in the longest path; where no source has two edges,
+    each pair is found once. Cycles end as nothing new is found. Each round is written to the shared folder, which cuts the lineage. Nulls join nothing."""
     g = list(group)
     edges = edges.select(*g, "src", "dst").dropna().distinct()
     edges, _ = materialize(edges, "edges")
+    if seeds is None:
+        stats = edges.groupBy(*g, "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("nodes")).first()
+        if stats["most"] == 1 and (pairs := _jumps(edges, g, stats["nodes"].bit_length() + 1)) is not None:
+            return pairs
     frontier = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi").select(*g, "src", "dst")
     known = frontier
     for step_no in range(1, limit):

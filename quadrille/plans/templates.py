@@ -14,7 +14,13 @@ from quadrille.model import ns
 from quadrille.sparql.engine import Engine
 from quadrille.sparql.parser import SparqlError
 
-_PLACEHOLDER = re.compile(r"[?$](_{1,2}[A-Za-z]\w*)")
+#: Strings, IRIs and comments, which hold no placeholders; VALUES clauses without rows over one; placeholders.
+_PIECES = re.compile(
+    r'''(?P<plain>"{3}(?:[^"\\]|\\.|"(?!""))*"{3}|\'{3}(?:[^\'\\]|\\.|\'(?!\'\'))*\'{3}|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|<[^<>"{}|^`\\\s]*>|\#[^\n]*)
+    |\b(?i:values)\s*[?$](?P<over>_{1,2}[A-Za-z]\w*)\s*\{\s*\}(?P<dot>\s*\.)?
+    |[?$](?P<at>_{1,2}[A-Za-z]\w*)''',
+    re.S | re.X,
+)
 
 
 class TemplateError(ValueError):
@@ -65,31 +71,31 @@ class Template:
 
     @property
     def parameters(self) -> list[Parameter]:
-        bare = re.sub(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?m:^\s*#[^\n]*)", "", self.sparql)
-        return [parameter(v) for v in dict.fromkeys(_PLACEHOLDER.findall(bare))]
+        found = (m["over"] or m["at"] for m in _PIECES.finditer(self.sparql))
+        return [parameter(v) for v in dict.fromkeys(v for v in found if v)]
 
     def expand(self, values: dict[str, list[str] | str]) -> str:
         """The query with its parameters filled in. A missing mandatory one is an error; an optional one that is not
-        given stays a variable, and a VALUES clause over it is dropped."""
-        out = self.sparql
+        given stays a variable, and a VALUES clause over it is dropped. The text is gone through once, so that nothing
+        in a value is taken for a placeholder, and nothing in a string, an IRI or a comment of the query either."""
+        terms: dict[str, list[str]] = {}
+        multi = {p.variable for p in self.parameters if p.multi}
         for p in self.parameters:
             given = values.get(p.name)
             given = [given] if isinstance(given, str) else list(given or [])
-            ref = rf"[?$]{p.variable}\b"
-            block = rf"(?i:values)\s*{ref}\s*\{{\s*\}}"
-            if not given:
-                if not p.optional:
-                    raise TemplateError(f"missing parameter: {p.name}")
-                out = re.sub(block + r"\s*\.?", "", out)
-                continue
-            terms = [iri(v) if p.iri else literal(v) for v in given]
-            if p.multi:
-                out = re.sub(block, lambda m, t=terms: m[0].rstrip("} \n\t") + " " + " ".join(t) + " }", out)  # noqa: B023
-            elif len(given) > 1:
+            if not given and not p.optional:
+                raise TemplateError(f"missing parameter: {p.name}")
+            if len(given) > 1 and not p.multi:
                 raise TemplateError(f"one value only: {p.name}")
-            else:
-                out = re.sub(ref, lambda _, t=terms: t[0], out)
-        return out
+            if given:
+                terms[p.variable] = [iri(v) if p.iri else literal(v) for v in given]
+
+        def fill(m: re.Match) -> str:
+            if m["over"]:
+                return f"VALUES ?{m['over']} {{ {' '.join(terms[m['over']])} }}{m['dot'] or ''}" if m["over"] in terms else ""
+            return terms[m["at"]][0] if m["at"] in terms and m["at"] not in multi else m[0]
+
+        return _PIECES.sub(fill, self.sparql)
 
     def run(self, engine: Engine, values: dict[str, list[str] | str]) -> DataFrame:
         try:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import zlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Folders that a stored index is divided into.
+BUCKETS = 64
 
 
 def terms(text: Column) -> Column:
@@ -20,20 +24,37 @@ def build_index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     return w.select(key, F.explode("w").alias("word")).groupBy("word", key).agg(F.count(F.lit(1)).alias("tf")), lengths
 
 
+def bucket_of(word: str) -> int:
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def store_index(index: tuple[DataFrame, DataFrame], path: str) -> None:
+    """Write an index. Postings lie in a folder for each bucket of words, so that a search reads those of its words."""
+    postings, lengths = index
+    bucket = (F.crc32(F.encode("word", "UTF-8")) % BUCKETS).cast("int")
+    postings.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.hash("word"), F.lit(8))).sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
 def search(index: tuple[DataFrame, DataFrame], query: str, key: str, all_words: bool = True) -> DataFrame:
     """key and score of what matches the words of a query; with ``all_words`` only what holds each of them."""
     postings, lengths = index
-    spark = postings.sparkSession
-    q = spark.createDataFrame([(query,)], "q string").select(F.explode(F.array_distinct(terms(F.col("q")))).alias("word"))
+    words = postings.sparkSession.createDataFrame([(query,)], "q string").select(F.array_distinct(terms(F.col("q")))).first()[0]
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_words").alias("mean"))
-    hit = postings.join(F.broadcast(q), "word")
+    hit = postings.where(F.col("word").isin(words))
+    if "bucket" in postings.columns:
+        hit = hit.where(F.col("bucket").isin([bucket_of(w) for w in words])).drop("bucket")
     df = hit.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     x = hit.join(F.broadcast(df), "word").join(lengths, key).crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.col("mean")))
     out = x.groupBy(key).agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n_hit"))
     if all_words:
-        out = out.crossJoin(F.broadcast(q.agg(F.count(F.lit(1)).alias("n_asked")))).where("n_hit = n_asked").drop("n_asked")
+        out = out.where(F.col("n_hit") == len(words))
     return out.drop("n_hit")
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.iri import encode_for_uri, parent_prefix, shard_name, short_key, trusty_base
 from quadrille.functions.text import artifact_code, base64_key, clean, clean_lower
-from quadrille.operators.closure import closure
+from quadrille.operators.closure import best_below, closure
 from quadrille.plans import ingest, listing, reconcile, resolve, textsearch, trust
 from quadrille.plans.templates import Template
 from quadrille.sources import bridge
@@ -98,11 +100,16 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     its key; all at once instead of a query per nanopub."""
     rel = bridge.event_relations(spark, sf_dir)
     n = bridge.event_nanopubs(spark, sf_dir).select("np", "pk", "created")
-    up = closure(rel.where("pred = 'supersedes'").select(F.col("target").alias("src"), F.col("np").alias("dst")))
-    pairs = up.unionByName(up.select("src").distinct().select("src", F.col("src").alias("dst")))
-    dead = resolve.same_key_invalidations(n, rel.where("pred = 'invalidates'").select(F.col("np").alias("inv"), "target")).select(F.col("target").alias("dst")).distinct()
-    x = pairs.join(dead, "dst", "left_anti").join(n.select(F.col("np").alias("src"), F.col("pk").alias("pk0")), "src").join(n.withColumnRenamed("np", "dst"), "dst").where("pk = pk0")
-    return x.groupBy(F.col("src").alias("np")).agg(F.max_by("dst", F.struct("created", "dst")).alias("latest"))
+    edges = rel.where("pred = 'supersedes'").select(F.col("np").alias("src"), F.col("target").alias("dst"))
+    dead = resolve.same_key_invalidations(n, rel.where("pred = 'invalidates'").select(F.col("np").alias("inv"), "target")).select(F.col("target").alias("np")).distinct()
+    alive = n.join(dead, "np", "left_anti").select(F.col("np").alias("node"), "pk", F.struct("created", "np").alias("val"))
+    best = best_below(edges, alive, ["pk"])
+    if best is None:  # several edges of a nanopub, or cycles: all pairs are needed
+        up = closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        pairs = up.unionByName(up.select("src").distinct().select("src", F.col("src").alias("dst")))
+        best = pairs.join(alive.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "pk").agg(F.max("val").alias("val"))
+    asked = edges.select(F.col("dst").alias("np")).distinct().join(n.select("np", "pk"), "np")
+    return asked.join(best.withColumnRenamed("node", "np"), ["np", "pk"]).select("np", F.col("val.np").alias("latest"))
 
 
 @query
@@ -232,11 +239,12 @@ def space_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- spaces and roles
 
 
-def resolver(spark: SparkSession, sf_dir: str, *without: str) -> resolve.Resolver:
-    ext = bridge.spaces(spark, sf_dir)
-    ext["acct"] = resolve.approved(ext.pop("accounts"))
-    ext.pop("gen")
-    return resolve.Resolver(spark, {k: v for k, v in ext.items() if k not in without})
+def extraction(ext: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {k: v for k, v in ext.items() if k in resolve.EXT} | {"acct": resolve.approved(ext["accounts"])}
+
+
+def resolver(spark: SparkSession, sf_dir: str) -> resolve.Resolver:
+    return resolve.Resolver(spark, extraction(bridge.spaces(spark, sf_dir)))
 
 
 @query
@@ -246,26 +254,26 @@ def mirror_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def admin_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admins by chains of grants, revocations left aside."""
-    return resolver(spark, sf_dir, "revocation").admins().select("ref", "agent")
+    """Admins by chains of grants that were not revoked."""
+    return resolver(spark, sf_dir).admins().select("ref", "agent")
 
 
 @query
 def role_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = resolver(spark, sf_dir, "revocation")
+    r = resolver(spark, sf_dir)
     a = r.admins()
     return r.attachments(a, r.aliases(a)).select("ref", "role")
 
 
 @query
 def space_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of all tiers, revocations left aside."""
-    return resolver(spark, sf_dir, "revocation").build()["role"].select("ref", "agent", "role", "role_type", "np")
+    """Roles of all tiers."""
+    return resolver(spark, sf_dir).build()["role"].select("ref", "agent", "role", "role_type", "np")
 
 
 @query
 def space_state_revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals per tier with revocations; the order of evaluation matters, which SQL cannot say."""
+    """Totals per tier."""
     return resolve.totals(resolver(spark, sf_dir).build())
 
 
@@ -282,6 +290,52 @@ def newest_revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.latest(rev, ["space", "agent", "role"], ["created", "rev"]).select("space", "agent", "role", "rev")
 
 
+def authority_rows(r: resolve.Resolver, state: dict[str, DataFrame]) -> DataFrame:
+    """The rows of every tier of a state, and of the rules within tiers, as tier and three texts."""
+    none = F.lit("")
+    admins, same = state["admin"], state["alias"]
+    tiers = [
+        (admins, "admin", "ref", "agent", none),
+        (same, "alias", "ref", "alias", "np"),
+        (state["subspace"], "subspace", "child_ref", "parent_ref", "np"),
+        (state["prefix"], "prefix", "child_ref", "parent_ref", none),
+        (state["maintained"], "maintained", "ref", "resource", "np"),
+        (state["governing"], "governing", "ref", "resource", none),
+        (state["stamp"], "stamp", "ref", "pa", F.col("active").cast("string")),
+        (state["attachment"], "attachment", "ref", "role", "np"),
+        (state["role"], "role", "ref", F.concat("agent", F.lit(" "), "role", F.lit(" "), "role_type"), "np"),
+        (r.latest_declarations(), "declaration", "kind", F.coalesce("role", none), "pd"),
+        (r.latest_assignments(admins, same), "assignment", "ref", "preset", "pa"),
+        (r.detached(admins, same), "detached", "ref", "role", F.date_format("detached_at", "yyyy-MM-dd HH:mm:ss")),
+    ]
+    cols = lambda *cs: [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in zip("abc", cs)]
+    rows = [df.select(F.lit(t).alias("tier"), *cols(*cs)).distinct() for df, t, *cs in tiers]
+    rows.append(resolve.edges(state).groupBy("predicate").agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit("edges").alias("tier"), *cols("predicate", "n", none)))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def auth_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tiers over rows of all kinds: aliases, sub-spaces, maintained resources, presets, detachments, revocations,
+    invalidations."""
+    r = resolve.Resolver(spark, extraction(bridge.authority(spark, sf_dir)))
+    return authority_rows(r, r.build())
+
+
+@query
+def auth_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a build without the younger half of the parts and an incremental cycle that brings them, and with
+    them invalidations, deactivations and detachments of what was built."""
+    ext = extraction(bridge.authority(spark, sf_dir))
+    middle = ext["loads"].where("ln >= 1000000000").agg(F.percentile_approx("ln", 0.5)).first()[0] or 0
+    late = ext["loads"].where(F.col("ln") > middle).select("np").distinct()
+    half = {k: v.join(late, "np", "left_anti") if "np" in v.columns else v for k, v in ext.items()}
+    half["invalidates"] = ext["invalidates"].join(late.withColumnRenamed("np", "inv"), "inv", "left_anti")
+    state = resolve.Resolver(spark, half).build()
+    r = resolve.Resolver(spark, ext, since=middle)
+    return authority_rows(r.anew(since=None), r.build(state))
+
+
 # -- text
 
 
@@ -317,12 +371,9 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles after a build over the older half of the orders and an incremental cycle over all of them; the same as
     those of space_state."""
-    ext = bridge.spaces(spark, sf_dir)
-    ext["acct"] = resolve.approved(ext.pop("accounts"))
-    for k in ("gen", "revocation"):
-        ext.pop(k)
+    ext = extraction(bridge.spaces(spark, sf_dir))
     middle = ext["loads"].agg(F.percentile_approx("ln", 0.5)).first()[0]
     early = ext["loads"].where(F.col("ln") <= middle).select("np").distinct()
-    half = {k: v.join(early, "np", "left_semi") if k in ("grant", "attachment", "loads") else v for k, v in ext.items()}
+    half = {k: v.join(early, "np", "left_semi") if k in ("grant", "attachment", "revocation", "loads") else v for k, v in ext.items()}
     state = resolve.Resolver(spark, half).build()
     return resolve.Resolver(spark, ext, since=middle).build(state)["role"].select("ref", "agent", "role", "role_type", "np")

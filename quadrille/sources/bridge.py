@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quadrille.model import Mapping, MappedQuads, ns
 from quadrille.plans.ingest import GRAPH
-from quadrille.plans.resolve import ADMIN, ADMIN_PRED, GEN, MAINTAINER, MEMBER, OBSERVER
+from quadrille.operators.ranks import row_numbers
+from quadrille.plans.resolve import ADMIN, ADMIN_PRED, GEN, GEN_SPACE, MAINTAINER, MEMBER, OBSERVER
 from quadrille.sources.tables import table
 from quadrille.sparql.parser import XSD
 
@@ -116,3 +117,57 @@ def spaces(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "loads": o.select("np", "ln", "pk"),
         "gen": spark.createDataFrame([(GEN,)], "iri string"),
     }
+
+
+#: The roles by number, as the priorities of orders name them.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def authority(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The rows of spaces() and those of all other kinds. Suppliers are spaces of their own under their nation's space,
+    each with an approved customer of the nation as its root and only admin; the roots of nations name themselves
+    admins, too. A part is a nanopub of the nation that its brand's number names, published by one of the first three
+    approved customers of the nation, or of the next one for some sub-spaces; its type says whether it declares a
+    sub-space, a maintained resource, an alias or a preset, assigns a preset, or detaches a role.
+    Hot parts invalidate the part before of the same publisher, red ones that with the number before, whose publisher
+    mostly is another."""
+    ext = spaces(spark, sf_dir)
+    customer, supplier, part = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lit(EX), "r_name", F.lit("/"), "n_name").alias("space"))
+    cust = lambda c: F.concat(F.lit(EX + "agent/"), c.cast("string"))
+    key = lambda c: F.sha2(F.concat(F.lit("ck"), c.cast("string")), 256)
+    good = customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select("c_custkey", F.col("c_nationkey").alias("nk"))
+    good = row_numbers(good, ["nk"], ["c_custkey"], F.floor(F.col("c_custkey") / 100_000), "rk").select("nk", "rk", cust(F.col("c_custkey")).alias("agent"), key(F.col("c_custkey")).alias("pk"))
+    sup = row_numbers(supplier.select("s_suppkey", F.col("s_nationkey").alias("nk")), ["nk"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 100_000), "rk")
+    sup = sup.join(good, ["nk", "rk"]).join(nation.withColumnRenamed("n_nationkey", "nk"), "nk")
+    sup = sup.select("nk", "rk", "agent", "pk", F.col("space").alias("above"), F.concat(F.lit("s"), "s_suppkey").alias("ref"), F.concat("space", F.lit("/s"), "s_suppkey").alias("space"), F.concat(F.lit("https://np.example.org/def/s"), "s_suppkey").alias("np"))
+    epoch = F.lit("2024-01-01").cast("timestamp")
+    nk = F.substring_index("p_brand", "#", -1).cast("long") - 1
+    p = part.select("p_partkey", "p_type", F.col("p_size").cast("long").alias("size"), F.split("p_name", " ")[0].alias("colour"), (F.col("p_name") < "m").alias("first"), nk.alias("nk"), np_iri(F.concat(F.lit("p"), "p_partkey")).alias("np"))
+    rank = F.floor(((F.col("size") - 1) % 25) / 10) + 1
+    of = F.when((F.col("p_type") == "ECONOMY") & ~F.col("first") & (F.col("size") > 25), (F.col("nk") + 1) % 25).otherwise(F.col("nk"))
+    p = p.withColumns({"rk": rank, "of": of}).join(good.withColumnRenamed("nk", "of"), ["of", "rk"])
+    p = p.join(nation.select(F.col("n_nationkey").alias("nk"), "space"), "nk").withColumns({"created": F.timestamp_micros(F.unix_micros(epoch) + F.col("p_partkey") * 60_000_000), "role": F.concat(F.lit(EX + "role/"), F.element_at(F.array(*map(F.lit, PRIORITIES)), F.least(F.floor((F.col("size") - 1) / 10) + 1, F.lit(5)).cast("int")))})
+    kind = lambda t: p.where(F.col("p_type") == t)
+    near = kind("ECONOMY").where("first").join(sup.select("nk", "rk", F.col("space").alias("child")), ["nk", "rk"]).select("child", F.col("space").alias("parent"), "pk", "np")
+    far = kind("ECONOMY").where("not first").join(nation.select(((F.col("n_nationkey") + 24) % 25).alias("nk"), F.col("space").alias("parent")), "nk").select(F.col("space").alias("child"), "parent", "pk", "np")
+    owned = kind("MEDIUM").join(sup.select("nk", "rk", F.col("space").alias("own")), ["nk", "rk"], "left")
+    own = ext["definition"].join(ext["ref_iri"].select("ref", "space"), "ref").withColumn("k", F.substring_index("root_admin", "/", -1))
+    number, brand = F.col("size").cast("string"), F.col("nk").cast("string")
+    w = Window.partitionBy("pk").orderBy("p_partkey")
+    before = p.withColumn("target", F.lag("np").over(w)).where("colour = 'hot' and target is not null").select(F.col("np").alias("inv"), "target")
+    other = part.where(F.col("p_name").startswith("red ") & (F.col("p_partkey") > 0)).select(np_iri(F.concat(F.lit("p"), "p_partkey")).alias("inv"), np_iri(F.concat(F.lit("p"), F.col("p_partkey") - 1)).alias("target"))
+    more = {
+        "ref_iri": sup.select("ref", "space", F.col("above").alias("prefix")),
+        "definition": sup.select("ref", "np", F.col("agent").alias("root_admin")),
+        "grant": sup.select(F.concat("np", F.lit("#a")).alias("ri"), "space", "agent", F.lit("inverse").alias("dir"), F.lit(ADMIN_PRED).alias("pred"), "pk", "np", epoch.alias("created")).unionByName(own.select(F.concat("np", F.lit("#a")).alias("ri"), "space", F.col("root_admin").alias("agent"), F.lit("inverse").alias("dir"), F.lit(ADMIN_PRED).alias("pred"), key(F.col("k")).alias("pk"), "np", epoch.alias("created"))),
+        "subspace": near.unionByName(far).withColumn("d", F.concat("np", F.lit("#d"))),
+        "maintained": kind("LARGE").select(F.col("np").alias("d"), F.concat(F.lit(EX + "res/"), brand, F.lit("-"), number).alias("resource"), "space", "pk", "np"),
+        "alias": owned.select(F.col("np").alias("d"), F.col("space").alias("canonical"), F.coalesce("own", F.concat(F.lit(EX + "alias/"), brand, F.lit("-"), number)).alias("alias"), "pk", "np"),
+        "preset_decl": kind("PROMO").select(F.col("np").alias("pd"), F.concat(F.lit(EX + "kind/"), brand).alias("kind"), F.concat(F.lit(EX + "preset/"), brand).alias("preset"), "role", F.when(F.col("size") <= 40, GEN_SPACE).otherwise(EX + "Other").alias("applies_to"), "np", "created"),
+        "preset_assign": kind("SMALL").select(F.col("np").alias("pa"), F.concat(F.lit(EX + "preset/"), brand).alias("preset"), F.col("space").alias("resource"), (F.col("size") <= 30).alias("active"), "pk", "np", "created"),
+        "detachment": kind("STANDARD").select(F.col("np").alias("det"), "space", "role", "pk", "np", "created"),
+        "loads": p.select("np", (F.col("p_partkey") + 1_000_000_000).alias("ln"), "pk").unionByName(sup.select("np", F.lit(-1).cast("long").alias("ln"), "pk")),
+        "invalidates": before.unionByName(other),
+    }
+    return {k: ext[k].unionByName(more[k]) if k in ext and k in more else more.get(k, ext.get(k)) for k in ext.keys() | more.keys()}

@@ -43,10 +43,12 @@ class Sol:
 
 @dataclass(frozen=True)
 class Scope:
-    """Where patterns are matched: a graph and a repository, each None (any), a constant or a variable."""
+    """Where patterns are matched: a graph and a repository, each None (any), a constant or a variable. ``dataset``: the
+    graphs that make up the default graph and those that GRAPH speaks of, None = all of both."""
 
     g: tuple | None = None
     repo: tuple | None = None
+    dataset: tuple | None = None
 
 
 def _align(a: Sol, b: Sol) -> tuple[Sol, Sol]:
@@ -73,14 +75,36 @@ def join(a: Sol | None, b: Sol, how: str = "inner", on: Column | None = None) ->
             return Sol(a.df.join(b.df, [f"v_{n}" for n in sure]), names, bound)
         return Sol(a.df.crossJoin(b.df), names, bound)
     right = _rename(b, shared)
-    conds = [F.col(f"`v_{n}`") == F.col(f"`w_{n}`") for n in sure] + [F.col(f"`v_{n}`").isNull() | F.col(f"`w_{n}`").isNull() | (F.col(f"`v_{n}`") == F.col(f"`w_{n}`")) for n in loose]
-    if on is not None:
-        conds.append(on)
-    df = a.df.join(right, reduce(lambda x, y: x & y, conds) if conds else F.lit(True), how)
+    if not loose:
+        conds = [F.col(f"`v_{n}`") == F.col(f"`w_{n}`") for n in sure] + ([on] if on is not None else [])
+        df = a.df.join(right, reduce(lambda x, y: x & y, conds) if conds else F.lit(True), how)
+        return Sol(df.drop(*(f"w_{n}" for n in shared)), names, bound)
+    loose_a, loose_b = [n for n in shared if n not in a.sure], [n for n in shared if n not in b.sure]
+    parts = []
+    for has_a, rows_a in _arms(a.df, "v", shared, loose_a):
+        alone = rows_a
+        for has_b, rows_b in _arms(right, "w", shared, loose_b):
+            conds = [F.col(f"`v_{n}`") == F.col(f"`w_{n}`") for n in shared if n in has_a and n in has_b] + ([on] if on is not None else [])
+            cond = reduce(lambda x, y: x & y, conds) if conds else F.lit(True)
+            parts.append(rows_a.join(rows_b, cond, how if not loose_b else "inner"))
+            alone = alone.join(rows_b, cond, "left_anti")
+        if how == "left" and loose_b:
+            parts.append(alone)
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     df = df.withColumns({f"v_{n}": F.coalesce(F.col(f"`v_{n}`"), F.col(f"`w_{n}`")) for n in loose}).drop(*(f"w_{n}" for n in shared))
     return Sol(df, names, bound)
 
 
+def _arms(df: DataFrame, prefix: str, shared: list[str], loose: list[str]) -> list[tuple[set[str], DataFrame]]:
+    """The rows by which of the ``loose`` variables they bind, with all the variables bound in each part. Within a part
+    compatible means equal, so parts are joined on keys; a test for null in the join would rule that out."""
+    out = [(set(shared), df)]
+    for n in loose:
+        c = F.col(f"`{prefix}_{n}`")
+        out = [x for has, rows in out for x in ((has, rows.where(c.isNotNull())), (has - {n}, rows.where(c.isNull())))]
+    return out
+
+
 def _key(c_kind: Column, v: Column, dt: Column, lang: Column) -> Column:
     """A term as one string: IRIs and blank nodes as they are, literals with their datatype and language first."""
     return F.when(c_kind == "lit", F.concat(F.lit('"'), dt, F.lit(" "), lang, F.lit(" "), v)).otherwise(v)
@@ -107,7 +131,7 @@ class Engine:
         kind, value, datatype, language). ASK: one boolean. CONSTRUCT and DESCRIBE: s, p, o with the object's kind,
         datatype and language."""
         q = parse(text, self.prefixes)
-        scope = Scope(repo=("iri", repo) if repo else None)
+        scope = Scope(repo=("iri", repo) if repo else None, dataset=q.dataset)
         if q.form == "ask":
             return self.group(q.where, scope).df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer"))
         if q.form in ("construct", "describe"):
@@ -128,7 +152,7 @@ class Engine:
             sol = self.select(replace(q, form="select", projection=[(("var", n), n) for n in named]), scope)
             nodes += [sol.df.select(X.text(sol.val(n)).alias("s")) for n in named if n in sol.vars]
         wanted = reduce(DataFrame.unionByName, nodes).distinct()
-        return self.source.scan(scope.repo[1] if scope.repo else None, None, None, None, None).join(wanted, "s", "left_semi").select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct()
+        return self.quads(scope).join(wanted, "s", "left_semi").select("s", "p", "o", "o_kind", "o_dt", "o_lang").distinct()
 
     def instantiate(self, sol: Sol, template: list) -> DataFrame:
         """The quads of a template for every solution; incomplete ones and literal subjects or predicates drop out."""
@@ -264,7 +288,7 @@ class Engine:
                 inner = replace(scope, g=e[1])
                 sol = self.group(e[2], inner, sol) if _simple(e[2]) else join(sol, self.group(e[2], inner))
             elif kind == "service":
-                inner = replace(scope, repo=("iri", e[1][1].removeprefix(self.base)) if e[1][0] == "iri" else e[1], g=None)
+                inner = replace(scope, repo=("iri", e[1][1].removeprefix(self.base)) if e[1][0] == "iri" else e[1], g=None, dataset=None)
                 sol = join(sol, self.group(e[2], inner))
             elif kind == "union":
                 sol = join(sol, self.union([self.group(arm, scope) for arm in e[1]]))
@@ -323,10 +347,13 @@ class Engine:
         if all(n in a.sure and n in b.sure for n in shared):
             return Sol(a.df.join(b.only(shared).df.distinct(), [f"v_{n}" for n in shared], "left_anti"), a.vars, a.sure)
         right = _rename(b.only(shared), shared).distinct()
-        v, w = (lambda n: F.col(f"`v_{n}`")), (lambda n: F.col(f"`w_{n}`"))
-        fit = reduce(lambda x, y: x & y, [v(n).isNull() | w(n).isNull() | (v(n) == w(n)) for n in shared])
-        met = reduce(lambda x, y: x | y, [v(n).isNotNull() & w(n).isNotNull() for n in shared])
-        return Sol(a.df.join(right, fit & met, "left_anti"), a.vars, a.sure)
+        parts = []
+        for has_a, rows in _arms(a.df, "v", shared, [n for n in shared if n not in a.sure]):
+            for has_b, others in _arms(right, "w", shared, [n for n in shared if n not in b.sure]):
+                if keys := has_a & has_b:
+                    rows = rows.join(others, reduce(lambda x, y: x & y, [F.col(f"`v_{n}`") == F.col(f"`w_{n}`") for n in sorted(keys)]), "left_anti")
+            parts.append(rows)
+        return Sol(reduce(DataFrame.unionByName, parts), a.vars, a.sure)
 
     # -- filters
     def filter(self, sol: Sol, e: tuple, scope: Scope) -> Sol:
@@ -341,6 +368,8 @@ class Engine:
         """The solutions of a pattern inside EXISTS, and the variables it shares with the row outside. If a filter in
         it, at any depth, speaks of variables that only the outside binds, or sharing is not certain, the pattern is
         evaluated on the distinct outside bindings; else by itself."""
+        if found := self.extremes(sol, elements, scope):
+            return found
         bound = _binds(elements)
         outside = (variables(elements) - bound) & set(sol.vars)
         shared = sorted(variables(elements) & set(sol.vars))
@@ -352,6 +381,50 @@ class Engine:
         seed = sol.only(shared)
         return self.group(elements, scope, Sol(seed.df.distinct(), seed.vars, seed.sure)), shared
 
+    def extremes(self, sol: Sol, elements: list, scope: Scope) -> tuple[Sol, list[str]] | None:
+        """EXISTS over a pattern with one ordering comparison of two variables, of parts that have only outside
+        variables in common: some pair satisfies it if and only if the extreme values do. Each side is reduced to its
+        extreme per outside binding before it is joined, so that no key's rows are paired. None if the pattern is another."""
+        tests = [t for e in elements if e[0] == "filter" for t in _conjuncts(e[1])]
+        triples = [t for e in elements if e[0] == "bgp" for t in e[1]]
+        if "var" in ((scope.g or "_")[0], (scope.repo or "_")[0]) or any(e[0] not in ("bgp", "filter") for e in elements) or len(tests) != 1 or tests[0][0] != "cmp" or tests[0][1] not in ("<", "<=", ">", ">="):
+            return None
+        _, op, a, b = tests[0]
+        if a[0] != "var" or b[0] != "var" or any(t[1][0] != "p" for t in triples) or not all(n in sol.sure for n in variables(elements) & set(sol.vars)):
+            return None
+        parts: list[tuple[set, list]] = []
+        for t in triples:
+            own, apart = variables(t) - set(sol.vars), []
+            mine = [t]
+            for vs, ts in parts:
+                if vs & own:
+                    own, mine = own | vs, ts + mine
+                else:
+                    apart.append((vs, ts))
+            parts = [*apart, (own, mine)]
+        side = {n: next((k for k, (vs, _) in enumerate(parts) if n in vs), None) for n in (a[1], b[1])}
+        if side[a[1]] == side[b[1]] or any(k is None and n not in sol.vars for n, k in side.items()):
+            return None
+        shared = sorted(variables(elements) & set(sol.vars))
+        out = sol.only(shared)
+        out = Sol(out.df.distinct(), out.vars, out.sure)
+        for k, (_, ts) in enumerate(parts):
+            inner = self.bgp(ts, scope, None)
+            keys = [n for n in shared if n in inner.vars]
+            name = next((n for n, m in side.items() if m == k), None)
+            if name is None:
+                inner = Sol(inner.only(keys).df.distinct(), {n: inner.vars[n] for n in keys}, frozenset(keys))
+            else:
+                kind, place = X.comparable(inner.val(name))
+                most = F.max_by if (op[0] == ">") == (name == a[1]) else F.min_by
+                cols = [f"v_{n}" for n in keys]
+                rows = inner.as_terms([name]).df.withColumns({"_kind": kind, "_place": place})
+                rows = rows.where(F.col("_place.n").isNotNull() | F.col("_place.i").isNotNull() | ~F.col("_kind").isin("number", "time"))
+                rows = rows.groupBy(*cols, "_kind").agg(most(f"v_{name}", "_place").alias(f"v_{name}")).drop("_kind")
+                inner = Sol(rows, {n: inner.vars[n] for n in keys} | {name: "term"}, frozenset([*keys, name]))
+            out = join(out, inner)
+        return self.filter(out, tests[0], scope).only(shared), shared
+
     def exists(self, sol: Sol, elements: list, scope: Scope, how: str) -> Sol:
         inner, keys = self.matches(sol, elements, scope)
         a, b = _align(sol, inner)
@@ -431,7 +504,7 @@ class Engine:
         todo: list = list(triples)
         ready: list[Sol] = []
         for s, arms in stars.items():
-            if len(arms) > 1 and len({o for _, o in arms}) == len(arms) and scope.g != s and not any(scope.g == ("var", o) for _, o in arms):
+            if scope.dataset is None and len(arms) > 1 and len({o for _, o in arms}) == len(arms) and scope.g != s and not any(scope.g == ("var", o) for _, o in arms):
                 fused = self.source.star(*self._fixed(scope), [p for p, _ in arms])
                 if fused:
                     ready.append(self._fused(fused, s[1], arms, scope))
@@ -460,6 +533,18 @@ class Engine:
     def _fixed(scope: Scope) -> tuple[str | None, str | None]:
         return (scope.repo[1] if scope.repo and scope.repo[0] == "iri" else None), (scope.g[1] if scope.g and scope.g[0] == "iri" else None)
 
+    def quads(self, scope: Scope, s: str | None = None, p: str | None = None, o: tuple | None = None) -> DataFrame:
+        """The quads of the scope. A default graph of several graphs has each statement once."""
+        repo, g = self._fixed(scope)
+        if scope.dataset is None:
+            return self.source.scan(repo, g, s, p, o)
+        graphs = scope.dataset[0 if scope.g is None else 1]
+        graphs = [x for x in dict.fromkeys(graphs) if g in (None, x)]
+        if len(graphs) == 1:
+            return self.source.scan(repo, graphs[0], s, p, o)
+        df = self.source.scan(repo, g, s, p, o).where(F.col("g").isin(graphs) if graphs else F.lit(False))
+        return df if scope.g is not None else df.dropDuplicates([c for c in df.columns if c != "g"])
+
     def _where(self, scope: Scope) -> list[tuple[str, Column]]:
         """Columns for the variables of the scope."""
         out = []
@@ -482,9 +567,8 @@ class Engine:
     def triple(self, s: tuple, p: tuple, o: tuple, scope: Scope, sol: Sol | None) -> Sol:
         if p[0] not in ("p", "var"):
             return join(sol, self.path_pattern(s, p, o, scope, sol))
-        repo, g = self._fixed(scope)
         fixed = None if o[0] == "var" else ("iri", o[1], "", "") if o[0] == "iri" else o
-        df = self.source.scan(repo, g, s[1] if s[0] == "iri" else None, p[1] if p[0] == "p" else None, fixed)
+        df = self.quads(scope, s[1] if s[0] == "iri" else None, p[1] if p[0] == "p" else None, fixed)
         cols: list[tuple[str, str, Column]] = []
         if s[0] == "var":
             cols.append((s[1], "iri", F.col("s")))
@@ -526,11 +610,10 @@ class Engine:
         """x, y and the scope's columns g and repo, as bags for sequences and alternatives, as sets for the rest."""
         within = [c for c, t in (("g", scope.g), ("repo", scope.repo)) if t and t[0] == "var"]
         key = _key(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
-        repo, g = self._fixed(scope)
         if p[0] == "p":
-            return self.source.scan(repo, g, None, p[1], None).select(F.col("s").alias("x"), key.alias("y"), *within)
+            return self.quads(scope, p=p[1]).select(F.col("s").alias("x"), key.alias("y"), *within)
         if p[0] == "neg":
-            quads = self.source.scan(repo, g, None, None, None)
+            quads = self.quads(scope)
             ahead = quads.where(~F.col("p").isin(p[1])).select(F.col("s").alias("x"), key.alias("y"), *within) if p[1] or not p[2] else None
             back = quads.where(~F.col("p").isin(p[2])).select(key.alias("x"), F.col("s").alias("y"), *within) if p[2] else None
             return ahead.unionByName(back) if ahead is not None and back is not None else ahead if back is None else back
@@ -558,15 +641,15 @@ class Engine:
             reach = closure(back, seeds["y"], within).select(F.col("dst").alias("x"), F.col("src").alias("y"), *within)
         if p[0] == "plus":
             return reach
-        return reach.unionByName(self.zero(scope, seeds, within, repo, g)).distinct()
+        return reach.unionByName(self.zero(scope, seeds, within)).distinct()
 
-    def zero(self, scope: Scope, seeds: dict, within: list[str], repo, g) -> DataFrame:
+    def zero(self, scope: Scope, seeds: dict, within: list[str]) -> DataFrame:
         """Each term with itself: those at a given end, else all subjects and objects."""
         key = _key(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
         if seeds and not within:
             ends = reduce(DataFrame.unionByName, seeds.values()).distinct()
             return ends.select(F.col("src").alias("x"), F.col("src").alias("y"))
-        quads = self.source.scan(repo, g, None, None, None)
+        quads = self.quads(scope)
         nodes = quads.select(F.col("s").alias("x"), *within).unionByName(quads.select(key.alias("x"), *within)).distinct()
         if seeds:
             nodes = nodes.join(reduce(DataFrame.unionByName, seeds.values()).distinct().withColumnRenamed("src", "x"), "x", "left_semi")

@@ -12,6 +12,7 @@ from quadrille.model import node_term, term
 from quadrille.sparql.parser import RDF, XSD, SparqlError
 
 NUMERIC = [XSD + t for t in ("integer", "decimal", "double", "float", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")]
+INTEGRAL = [t for t in NUMERIC if t.rpartition("#")[2] not in ("decimal", "double", "float")]
 DATED = [XSD + "dateTime", XSD + "date"]
 
 
@@ -60,6 +61,24 @@ def number(x: Val) -> Column:
     return F.lit(None).cast("double")
 
 
+def whole(x: Val) -> Column:
+    """The value of an integer of up to 64 bits, which a double does not always hold; else null."""
+    if x.t == "int":
+        return x.c.cast("long")
+    if x.t == "term":
+        return F.when(x.c["dt"].isin(INTEGRAL), x.c["v"].try_cast("long"))
+    return F.lit(None).cast("long")
+
+
+def compare_numbers(f, a: Val, b: Val) -> Column:
+    """Integers by their exact values, other numbers as doubles."""
+    if "num" in (a.t, b.t):
+        return f(number(a), number(b))
+    if a.t == b.t == "int":
+        return f(a.c, b.c)
+    return F.when(whole(a).isNotNull() & whole(b).isNotNull(), f(whole(a), whole(b))).otherwise(f(number(a), number(b)))
+
+
 def instant(x: Val) -> Column:
     if x.t == "time":
         return x.c
@@ -94,7 +113,7 @@ def compare(op: str, a: Val, b: Val) -> Column:
     f = ops[op]
     kinds = {a.t, b.t}
     if kinds <= {"int", "num"} or kinds & {"int", "num"}:
-        return f(number(a), number(b))
+        return compare_numbers(f, a, b)
     if "bool" in kinds:
         return f(boolean(a), boolean(b))
     if "time" in kinds:
@@ -102,12 +121,20 @@ def compare(op: str, a: Val, b: Val) -> Column:
     if kinds == {"iri"} or kinds == {"str"}:
         return f(a.c, b.c)
     ta, tb = to_term(a), to_term(b)
-    na, nb = number(Val("term", ta)), number(Val("term", tb))
+    numbers = compare_numbers(f, Val("term", ta), Val("term", tb))
     ia, ib = instant(Val("term", ta)), instant(Val("term", tb))
     if op in ("=", "!="):
-        return F.when(ta["dt"].isin(NUMERIC) & tb["dt"].isin(NUMERIC), f(na, nb)).when(ta["dt"].isin(DATED) & tb["dt"].isin(DATED), f(ia, ib)).otherwise(f(ta, tb))
+        return F.when(ta["dt"].isin(NUMERIC) & tb["dt"].isin(NUMERIC), numbers).when(ta["dt"].isin(DATED) & tb["dt"].isin(DATED), f(ia, ib)).otherwise(f(ta, tb))
     alike = (ta["k"] == tb["k"]) & (ta["dt"] == tb["dt"])
-    return F.when(ta["dt"].isin(NUMERIC) & tb["dt"].isin(NUMERIC), f(na, nb)).when(ta["dt"].isin(DATED) & tb["dt"].isin(DATED), f(ia, ib)).when(alike, f(ta["v"], tb["v"]))
+    return F.when(ta["dt"].isin(NUMERIC) & tb["dt"].isin(NUMERIC), numbers).when(ta["dt"].isin(DATED) & tb["dt"].isin(DATED), f(ia, ib)).when(alike, f(ta["v"], tb["v"]))
+
+
+def comparable(x: Val) -> tuple[Column, Column]:
+    """The class of terms that this one can be ordered with, and its place in it."""
+    t = to_term(x)
+    v = Val("term", t)
+    kind = F.when(t["dt"].isin(NUMERIC), "number").when(t["dt"].isin(DATED), "time").otherwise(F.concat(t["k"], F.lit(" "), t["dt"]))
+    return kind, F.struct(number(v).alias("n"), whole(v).alias("w"), instant(v).alias("i"), t["v"].alias("v"))
 
 
 def like(result: Val, first: Val) -> Val:
