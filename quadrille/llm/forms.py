@@ -89,3 +89,13 @@ def lookalike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     side = lambda s: members.select("class_id", F.col("raw").alias(f"raw_{s}"), F.col("doc_id").alias(f"id_{s}"))
     x = pairs.join(side("a"), ["class_id", "raw_a"]).join(side("b"), ["class_id", "raw_b"]).where("id_a <> id_b")
     return x.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
+
+
+def class_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, first_doc (the least doc_id of the class, which names it), n_links: every document that looks like others of
+    another text, and how many those are. The counts stand for all pairs of lookalike_pairs(), which are not built: a
+    class of any size takes a row per document. Repeated rows count once; a null doc_id is left out."""
+    rows, _ = materialize(lookalike_classes(docs, doc_id, text).where("doc_id is not null").distinct(), "classes")
+    per = rows.groupBy("class_id", "raw").agg(F.count(F.lit(1)).alias("own"), F.min("doc_id").alias("least"))
+    whole = per.groupBy("class_id").agg(F.sum("own").alias("whole"), F.min("least").alias("first_doc"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    return rows.join(per.drop("least").join(whole, "class_id"), ["class_id", "raw"]).select("doc_id", "first_doc", (F.col("whole") - F.col("own")).alias("n_links"))

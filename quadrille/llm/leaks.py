@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,14 +16,66 @@ from quadrille.session import broadcast_if_small, materialize
 
 #: Consecutive words that make a leak, and the words of a shingle.
 PASSAGE, SHINGLE = 13, 5
-#: So many different shingles of the items, at most, are handed to the tasks as a set; beyond it they are joined.
-SET_LIMIT = 2_000_000
+#: So many different shingles of the items, at most, are handed to the tasks as they are; beyond it as a bit set of
+#: this size, which lets a few others pass.
+SET_LIMIT, BITS = 2_000_000, 1 << 28
+#: Words whose hashes a worker keeps.
+KEPT_WORDS = 1 << 20
 
 HITS = "doc_id long, pos int, n_words int, shingle long, head int, near array<string>"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_kept: dict[str, int] = {}
 
 
-def shingles(ws: list[str], n: int = SHINGLE) -> list[int]:
-    return [xxhash.xxh64_intdigest(" ".join(ws[i : i + n])) - (1 << 63) for i in range(len(ws) - n + 1)]
+def shingles(ws: list[str], n: int = SHINGLE) -> np.ndarray:
+    """A hash of each n words in a row, made of those of the words."""
+    if len(ws) < n:
+        return np.empty(0, np.int64)
+    if len(_kept) > KEPT_WORDS:
+        _kept.clear()
+    hs = []
+    for w in ws:
+        h = _kept.get(w)
+        if h is None:
+            h = _kept[w] = xxhash.xxh64_intdigest(w)
+        hs.append(h)
+    own = np.array(hs, np.uint64)
+    out = own[: len(ws) - n + 1].copy()
+    for k in range(1, n):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + own[k : len(ws) - n + 1 + k]
+    return (out ^ (out >> np.uint64(32))).view(np.int64)
+
+
+class Shingles:
+    """A sorted array of shingles."""
+
+    def __init__(self, values: list[int]):
+        self.values = np.array(sorted(values), np.int64)
+
+    def holds(self, hs: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(hs), bool)
+        return self.values[np.minimum(np.searchsorted(self.values, hs), len(self.values) - 1)] == hs
+
+
+class ShingleBits:
+    """Two bits for each shingle, in a set of fixed size however many there are; holds() may be true for others."""
+
+    def __init__(self, values: Iterator[int], bits: int = BITS):
+        self.mask, self.data = np.uint64(bits - 1), np.zeros(bits // 8, np.uint8)
+        while chunk := list(itertools.islice(values, 1 << 16)):
+            for at in self._places(np.array(chunk, np.int64)):
+                np.bitwise_or.at(self.data, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _places(self, hs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = hs.view(np.uint64)
+        return u & self.mask, (u >> np.uint64(32)) & self.mask
+
+    def holds(self, hs: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hs), bool)
+        for at in self._places(hs):
+            out &= (self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return out
 
 
 def _hits(wanted, passage: int, n: int):
@@ -30,13 +84,13 @@ def _hits(wanted, passage: int, n: int):
     row = passage - n + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None if wanted is None else wanted.value
+        known = wanted.value
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = words(text)
                 hs = shingles(ws, n)
-                at = [i for i, h in enumerate(hs) if known is None or h in known]
+                at = np.flatnonzero(known.holds(hs)).tolist()
                 k = 0
                 while k < len(at):
                     j = k
@@ -44,7 +98,7 @@ def _hits(wanted, passage: int, n: int):
                         j += 1
                     for i in at[k : j + 1]:
                         head = max(0, i - row + 1)
-                        for col, v in zip(out, (doc, i, len(ws), hs[i], head, ws[head : i + passage] if j - k + 1 >= row else None), strict=True):
+                        for col, v in zip(out, (doc, i, len(ws), int(hs[i]), head, ws[head : i + passage] if j - k + 1 >= row else None), strict=True):
                             col.append(v)
                     k = j + 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.string()))], ["doc_id", "pos", "n_words", "shingle", "head", "near"])
@@ -58,7 +112,7 @@ def _passages(passage: int, n: int):
             rows = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ws = words(text)
-                hs = shingles(ws, n)
+                hs = shingles(ws, n).tolist()
                 rows += [(item, i, ws[i : i + passage], hs[i : i + passage - n + 1]) for i in range(len(ws) - passage + 1)]
             a, p, w, h = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(p, pa.int32()), pa.array(w, pa.list_(pa.string())), pa.array(h, pa.list_(pa.int64()))], ["item_id", "start", "words", "shingles"])
@@ -81,11 +135,11 @@ def leaks(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, n: int = SH
     found, _ = materialize(i.mapInArrow(_passages(passage, n), "item_id long, start int, words array<string>, shingles array<long>"), "passages")
     flat = found.select("item_id", "start", "words", F.posexplode("shingles").alias("offset", "shingle"))
     wanted = flat.select("shingle").distinct()
-    if wanted.count() <= set_limit:
-        own = spark.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect()))
-        hits = d.mapInArrow(_hits(own, passage, n), HITS)
-    else:
-        hits = d.mapInArrow(_hits(None, passage, n), HITS).join(wanted, "shingle", "left_semi").select("doc_id", "pos", "n_words", "shingle", "head", "near")
+    few = wanted.count() <= set_limit
+    own = spark.sparkContext.broadcast(Shingles([r[0] for r in wanted.collect()]) if few else ShingleBits(r[0] for r in wanted.toLocalIterator()))
+    hits = d.mapInArrow(_hits(own, passage, n), HITS)
+    if not few:
+        hits = hits.join(wanted, "shingle", "left_semi").select("doc_id", "pos", "n_words", "shingle", "head", "near")
     hits, _ = materialize(hits, "hits")
     rarity = hits.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     prefix = (

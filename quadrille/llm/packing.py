@@ -16,6 +16,8 @@ from quadrille.session import materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Rows of one length that are ranked by one task, about.
 RANKED_TOGETHER = 2_000_000
+#: Ranks of one block, at least, and blocks of all lengths, at most about, in the join of items with their segments.
+BLOCK_LEAST, BLOCKS = 1024, 200_000
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +97,12 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     offsets = per_lane.select("n_tokens", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("n_tokens", "lane").orderBy("doc_id", "piece")
     ranked = laned.withColumn("rn", F.row_number().over(within)).join(offsets, ["n_tokens", "lane"]).withColumn("rank", F.col("offset") + F.col("rn") - 1)
-    placed = ranked.join(F.broadcast(segments), "n_tokens").where("rank >= from_rank and rank < to_rank")
+    # by blocks of ranks an item meets the few segments that reach into its block; there are no more rows of segments
+    # than BLOCKS and the plan's bound together
+    block = max(BLOCK_LEAST, sum(histogram.values()) // BLOCKS)
+    reach = F.sequence(F.floor(F.col("from_rank") / block), F.floor((F.col("to_rank") - 1) / block))
+    spread = segments.where("to_rank > from_rank").select("*", F.explode(reach).alias("block"))
+    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(F.broadcast(spread), ["n_tokens", "block"]).where("rank >= from_rank and rank < to_rank")
     own = ["doc_id", "piece", "first_token", "n_tokens"]
     slots = placed.select(*own, (F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("per"))).cast("long").alias("container_id"))
     return slots.unionByName(pieces.where("n_tokens = 0").select(*own, F.lit(0).cast("long").alias("container_id")))
@@ -110,3 +117,15 @@ def pack_texts(docs: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULA
 def fill(packed: DataFrame) -> DataFrame:
     """Containers by how full they are: n_tokens, n_containers."""
     return packed.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_containers"))
+
+
+def audit(sizes: DataFrame, packed: DataFrame, capacity: int, least: float = 0.97) -> DataFrame:
+    """One row about a packing: items with all their tokens in consecutive pieces (n_whole), others (n_broken), items
+    split although they fit (n_split), containers above the capacity (n_overfull), and whether all but one container
+    are filled to ``least`` of the capacity on average (well_filled). Needs unique doc_ids."""
+    w = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.countDistinct("piece").alias("k"), F.sum("n_tokens").alias("total"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    w = sizes.select("doc_id", F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n_tokens")).join(w, "doc_id", "full")
+    whole = F.coalesce((F.col("n") == F.col("k")) & (F.col("last") == F.col("n") - 1) & (F.col("total") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")), F.lit(False))
+    items = w.agg(F.count_if(whole).alias("n_whole"), F.count_if(~whole).alias("n_broken"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("n") > 1)).alias("n_split"))
+    c = fill(packed).agg(F.coalesce(F.sum(F.when(F.col("n_tokens") > capacity, F.col("n_containers"))), F.lit(0)).alias("n_overfull"), F.coalesce(F.sum(F.col("n_tokens") * F.col("n_containers")) >= least * capacity * (F.sum("n_containers") - 1), F.lit(True)).alias("well_filled"))
+    return items.crossJoin(c)
