@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from quadrille.session import materialize
 
 
-def _jumps(edges: DataFrame, g: list[str], limit: int) -> DataFrame | None:
-    """The closure where each source has one edge: round k adds the pairs that are 2^k and more steps apart, each found
-    once, over the node 2^k steps on. None if the edges have a cycle, on which the steps never end."""
-    jump = pairs = edges
+def _jumps(edges: DataFrame, pairs: DataFrame, g: list[str], limit: int) -> DataFrame | None:
+    """The closure from the sources of ``pairs`` (their edges) where each source has one edge: round k adds the pairs that
+    are 2^k more steps apart, each found once, over the node 2^k steps on. None if the edges have a cycle, on which the
+    steps never end."""
+    jump = edges
     for _ in range(limit):
-        far = jump.select(*g, "src", F.col("dst").alias("_mid"))
-        more, _ = materialize(far.join(pairs.select(*g, F.col("src").alias("_mid"), "dst"), [*g, "_mid"]).select(*g, "src", "dst"), "pairs")
-        pairs = pairs.unionByName(more)
-        jump, _ = materialize(far.join(jump.select(*g, F.col("src").alias("_mid"), "dst"), [*g, "_mid"]).select(*g, "src", "dst"), "jump")
+        far = jump.select(*g, F.col("src").alias("_mid"), F.col("dst").alias("_far"))
+        more = pairs.join(far.withColumnRenamed("_mid", "dst"), [*g, "dst"]).select(*g, "src", F.col("_far").alias("dst"))
+        pairs = pairs.unionByName(materialize(more, "pairs")[0])
+        jump, _ = materialize(jump.join(far.withColumnRenamed("_mid", "dst"), [*g, "dst"]).select(*g, "src", F.col("_far").alias("dst")), "jump")
         if not jump.limit(1).count():
             return pairs
     return None
@@ -50,13 +51,14 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, group: Sequence[st
 
     Semi-naive: each round extends only the pairs that the last one found. Without seeds they are extended by all
     pairs known so far, so the number of rounds is logarithmic in the longest path; where no source has two edges,
-    each pair is found once. Cycles end as nothing new is found. Each round is written to the shared folder, which cuts the lineage. Nulls join nothing."""
+    it always is, and each pair is found once. Cycles end as nothing new is found. Each round is written to the shared folder, which cuts the lineage. Nulls join nothing."""
     g = list(group)
     edges = edges.select(*g, "src", "dst").dropna().distinct()
     edges, _ = materialize(edges, "edges")
-    if seeds is None:
-        stats = edges.groupBy(*g, "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("nodes")).first()
-        if stats["most"] == 1 and (pairs := _jumps(edges, g, stats["nodes"].bit_length() + 1)) is not None:
+    stats = edges.groupBy(*g, "src").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("nodes")).first()
+    if stats["most"] == 1:
+        start = edges if seeds is None else materialize(edges.join(seeds.select("src").distinct(), "src", "left_semi").select(*g, "src", "dst"), "start")[0]
+        if (pairs := _jumps(edges, start, g, stats["nodes"].bit_length() + 1)) is not None:
             return pairs
     frontier = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi").select(*g, "src", "dst")
     known = frontier

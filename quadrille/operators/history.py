@@ -10,12 +10,14 @@ that spans the pair. Rows that it makes untrue keep their content and only get `
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quadrille.operators.incremental import VersionedState
+from quadrille.session import broadcast_if_small, materialize
+
 NEIGHBOURS = "chain_id long, pos long, before long, after long, rec_from timestamp, rec_to timestamp"
 
 
@@ -111,9 +113,50 @@ def believed(ledger: DataFrame, recorded: str | None = None) -> DataFrame:
     return ledger.where((F.coalesce(F.col("recorded_from") <= t, F.lit(True))) & (F.col("recorded_to").isNull() | (F.col("recorded_to") > t)))
 
 
-def merge_batches(tables: Iterator[DataFrame]) -> DataFrame:
-    """Ledgers of disjoint chains as one."""
-    out = next(tables)
-    for t in tables:
-        out = out.unionByName(t)
-    return out
+class LedgerStore:
+    """A ledger kept under one folder, to which snapshots are applied as they arrive, early or late.
+
+    Rows: the key columns, chain_id, state, from_pos, to_pos (null = open), recorded_from, recorded_to (null = still
+    believed). Positions are any numbers that order a chain, such as its counters. Nothing is overwritten: a part
+    brings new rows, and says of earlier ones when they were superseded."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], key_schema: str, state_type: str):
+        self.spark, self.key = spark, [*key, "chain_id"]
+        self.rows = VersionedState(spark, f"{path}/rows", f"{key_schema}, chain_id long, state {state_type}, from_pos long, to_pos long, recorded_from timestamp, recorded_to timestamp")
+        self.chain = VersionedState(spark, f"{path}/chain", "chain_id long, pos long, recorded timestamp")
+
+    def read(self) -> DataFrame:
+        own = [*self.key, "state", "from_pos", "to_pos", "recorded_from"]
+        return self.rows.read().groupBy(*own).agg(F.max("recorded_to").alias("recorded_to")).where("recorded_to is null or recorded_from < recorded_to")
+
+    def apply(self, snaps: DataFrame, states: DataFrame, attrs: list[str]) -> None:
+        """Take in one snapshot of each chain in ``snaps`` (chain_id, pos, recorded) with its ``states`` (key, chain_id, pos,
+        attributes; one row per entity present). The interval that spans a late snapshot is split where the state
+        differs, and its row is superseded at ``recorded`` (a null counts as the beginning of time). Snapshots that are
+        known already are passed over, so a call that failed may be repeated. Applied in the order of arrival, the
+        result is that of build_ledger() over all of them."""
+        known = self.chain.read()
+        snaps, size = materialize(snaps.select("chain_id", F.col("pos").cast("long"), F.coalesce("recorded", F.lit("0001-01-01").cast("timestamp")).alias("recorded")).join(known, ["chain_id", "pos"], "left_anti"), "snaps")
+        near = snaps.join(known.select("chain_id", F.col("pos").alias("other")), "chain_id", "left").groupBy("chain_id", "pos", "recorded").agg(F.min(F.when(F.col("other") > F.col("pos"), F.col("other"))).alias("next"))
+        place = broadcast_if_small(near, size)
+        held = self.read().where("recorded_to is null").join(place, "chain_id")
+        row = F.struct("state", "from_pos", "to_pos", "recorded_from")
+        spans = (F.col("from_pos") < F.col("pos")) & (F.col("to_pos").isNull() | (F.col("to_pos") > F.col("pos")))
+        old = held.withColumn("x", row).select(*self.key, "pos", "recorded", "next", F.when(spans, F.col("x")).alias("c"), F.when(F.col("from_pos") == F.col("next"), F.col("x")).alias("f")).where("c is not null or f is not null")
+        state = F.struct(*(F.col(a) for a in attrs))
+        new = states.withColumn("_s", state).select(*self.key, F.col("pos").cast("long"), "_s").join(place, ["chain_id", "pos"])
+        both = old.withColumn("s", F.when(F.lit(False), F.col("c.state"))).unionByName(new.select(*self.key, "pos", "recorded", "next", F.col("_s").alias("s")), allowMissingColumns=True)
+        x = both.groupBy(*self.key, "pos", "recorded", "next").agg(*(F.max(n).alias(n) for n in "cfs")).where(~F.col("s").eqNullSafe(F.col("c.state")))
+        put = lambda st, a, b, since, until: F.struct(st.alias("state"), a.alias("from_pos"), b.alias("to_pos"), since.alias("recorded_from"), until.alias("recorded_to"))
+        at, p, nxt, open_ = F.col("recorded"), F.col("pos"), F.col("next"), F.lit(None).cast("timestamp")
+        there, ends = F.col("c").isNotNull(), F.col("c.to_pos")
+        joins = F.col("f").isNotNull() & F.col("s").eqNullSafe(F.col("f.state")) & (~there | ends.eqNullSafe(nxt))
+        pieces = F.array_compact(
+            F.array(
+                F.when(there, put(F.col("c.state"), F.col("c.from_pos"), ends, F.col("c.recorded_from"), at)), F.when(there, put(F.col("c.state"), F.col("c.from_pos"), p, at, open_)),
+                F.when(joins, put(F.col("f.state"), F.col("f.from_pos"), F.col("f.to_pos"), F.col("f.recorded_from"), at)), F.when(F.col("s").isNotNull(), put(F.col("s"), p, F.when(joins, F.col("f.to_pos")).otherwise(nxt), at, open_)),
+                F.when(there & nxt.isNotNull() & (ends.isNull() | (ends > nxt)), put(F.col("c.state"), nxt, ends, at, open_)),
+            )
+        )
+        self.rows.swap(self.rows.stage(x.select(*self.key, F.explode(pieces).alias("r")).select(*self.key, "r.*")))
+        self.chain.swap(self.chain.stage(snaps))

@@ -100,16 +100,25 @@ class Resolver:
         d = self.ext["definition"].where("root_admin is not null").select("ref", F.col("root_admin").alias("agent")).distinct()
         return d.join(self.alive_refs(), "ref", "left_semi")
 
+    def _revoking(self, denotes: DataFrame | None) -> DataFrame:
+        """Revocations of the admin role, but for those of root admins: ref, agent, by, at."""
+        rev = self.ext["revocation"].where(F.col("role") == ADMIN).join(self.denotes(denotes), "space").select("ref", "agent", "pk", moment(F.col("created")).alias("at"))
+        root = self.ext["definition"].where("root_admin is not null").select("ref", F.col("root_admin").alias("agent")).distinct()
+        rev = rev.join(self.ext["acct"].select(F.col("agent").alias("by"), "pk"), "pk").join(root, ["ref", "agent"], "left_anti")
+        return rev.groupBy("ref", "agent", "by").agg(F.max("at").alias("at"))
+
+    @cached_property
+    def _revoked(self) -> DataFrame:
+        """Written once, as every round of the admins reads it."""
+        return materialize(self._revoking(None), "revoked")[0]
+
     def admin_revocations(self, admins: DataFrame, denotes: DataFrame | None = None) -> DataFrame:
         """ref, agent and the newest revocation of the admin role by an admin of the reference or the agent itself;
         root admins are exempt."""
-        refs = self.denotes(denotes)
-        rev = self.ext["revocation"].where(F.col("role") == ADMIN).join(refs, "space").select("ref", "agent", "rev", "pk", moment(F.col("created")).alias("at"))
-        rev = rev.join(self.ext["acct"].select(F.col("agent").alias("by"), "pk"), "pk")
+        rev = self._revoked if denotes is None else self._revoking(denotes)
         admin = admins.select("ref", F.col("agent").alias("by")).distinct()
         entitled = rev.where("by = agent").select("ref", "agent", "at").unionByName(rev.join(admin, ["ref", "by"], "left_semi").select("ref", "agent", "at"))
-        root = self.ext["definition"].where("root_admin is not null").select("ref", F.col("root_admin").alias("agent")).distinct()
-        return entitled.join(root, ["ref", "agent"], "left_anti").groupBy("ref", "agent").agg(F.max("at").alias("revoked_at"))
+        return entitled.groupBy("ref", "agent").agg(F.max("at").alias("revoked_at"))
 
     def admins(self, state: DataFrame | None = None) -> DataFrame:
         """Admins by signed grants, from the root admins on: ref, space, agent, np. Semi-naive: each round follows only
@@ -120,7 +129,7 @@ class Resolver:
         none = self.spark.createDataFrame([], "ref string, space string, agent string, np string")
         known = state if state is not None else none
         givers = self.roots() if state is None else self.roots().unionByName(state.select("ref", "agent")).distinct()
-        revocable = bool(self.ext["revocation"].limit(1).count())
+        revocable = bool(self._revoked.limit(1).count())
         while True:
             cand = grants.join(givers.select("ref", F.col("agent").alias("pub")).distinct(), ["ref", "pub"], "left_semi")
             if revocable:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
@@ -183,8 +184,15 @@ def to_srx_rows(df: DataFrame) -> DataFrame:
     return df.mapInPandas(rows, "value string")
 
 
+def srx_chunks(df: DataFrame) -> Iterator[str]:
+    """A result document in pieces."""
+    head = "".join(f'<variable name="{n}"/>' for n in df.columns)
+    yield f'<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{head}</head><results>'
+    for r in to_srx_rows(df).toLocalIterator():
+        yield r[0]
+    yield "</results></sparql>"
+
+
 def srx(df: DataFrame) -> str:
     """A whole result document, for results that fit the driver."""
-    head = "".join(f'<variable name="{n}"/>' for n in df.columns)
-    body = "".join(r[0] for r in to_srx_rows(df).toLocalIterator())
-    return f'<?xml version="1.0"?>\n<sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{head}</head><results>{body}</results></sparql>'
+    return "".join(srx_chunks(df))

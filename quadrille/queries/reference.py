@@ -81,6 +81,15 @@ sparql("path_inverse", "SELECT ?n (COUNT(?c) AS ?k) WHERE { ?n ^col:c_nationkey
 sparql("path_both_ways", "SELECT ?a ?b WHERE { ?a (npx:supersedes|^npx:supersedes) ?b }")
 sparql("service_hop", """SELECT ?c ?name WHERE { SERVICE <https://query.example.org/repo/full> { ?c col:c_name ?name ; col:c_mktsegment "BUILDING" } }""")
 sparql("service_var", "SELECT ?r (COUNT(*) AS ?n) WHERE { SERVICE ?r { ?s rdfs:label|col:n_name ?l } } GROUP BY ?r")
+sparql("from_graph", "SELECT ?p (COUNT(*) AS ?n) FROM ex:nation FROM ex:region WHERE { ?s ?p ?o } GROUP BY ?p")
+sparql("from_named", "SELECT ?g (COUNT(*) AS ?n) FROM ex:region FROM NAMED ex:nation FROM NAMED ex:supplier WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g")
+sparql("optional_shared", """SELECT ?s ?k ?r WHERE { ?s col:s_name ?n OPTIONAL { ?s col:s_nationkey ?k . ?k col:n_name "NATION_3" } OPTIONAL { ?k col:n_regionkey ?r } }""")
+sparql("minus_loose", """SELECT ?s ?k WHERE { ?s col:s_name ?n OPTIONAL { ?s col:s_nationkey ?k . ?k col:n_regionkey ?r . ?r col:r_name ?rn FILTER(STRENDS(?rn, "A")) } MINUS { ?k col:n_name "NATION_1" } }""")
+sparql("type_alternatives", "SELECT ?np ?t WHERE { ?np npx:hasNanopubType ?t FILTER(?t != <http://ex.org/type/view> && (?t = <http://ex.org/type/error> || ?t = <http://ex.org/type/signup>)) }")
+sparql("path_star", "SELECT ?v (COUNT(?old) AS ?n) WHERE { ?v npx:hasNanopubType <http://ex.org/type/purchase> . ?v npx:supersedes* ?old } GROUP BY ?v", "meta")
+sparql("coalesce_value", """SELECT ?np ?l WHERE { ?np npx:hasNanopubType <http://ex.org/type/signup> OPTIONAL { ?np rdfs:label ?x } BIND(COALESCE(?x, "none") AS ?l) }""")
+sparql("text_matches", """PREFIX search: <http://www.openrdf.org/contrib/lucenesail#> SELECT ?np ?prop ?k ?snippet WHERE { ?np npx:hasNanopubType <http://ex.org/type/purchase> .
+  ?np search:matches [ search:query "7 12" ; search:property ?prop ; search:score ?score ; search:snippet ?snippet ] FILTER(?prop = rdfs:label) BIND(FLOOR(?score * 1000) AS ?k) }""", "meta")
 sparql("functions_text", """SELECT ?c ?u ?l ?s ?b ?a ?m WHERE { ?c col:c_name ?n BIND(UCASE(?n) AS ?u) BIND(STRLEN(?n) AS ?l) BIND(SUBSTR(?n, 3, 4) AS ?s)
   BIND(STRBEFORE(?n, "#") AS ?b) BIND(STRAFTER(?n, "#") AS ?a) BIND(MD5(?n) AS ?m) }""")
 sparql("functions_number", """SELECT ?c ?f ?k WHERE { ?c col:c_acctbal ?b BIND(FLOOR(?b) AS ?f) BIND(IF(?b > 5000, "high", "low") AS ?k) }""")

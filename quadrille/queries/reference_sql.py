@@ -163,6 +163,24 @@ SELECT np, pk AS key, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS date, label FROM
     "path_both_ways": f"WITH {_EV} SELECT np AS a, target AS b FROM rel WHERE pred = 'supersedes' UNION ALL SELECT target, np FROM rel WHERE pred = 'supersedes'",
     "service_hop": f"SELECT {_C} c_custkey AS c, c_name AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
     "service_var": f"WITH {_EV} SELECT 'https://query.example.org/repo/meta' AS r, CAST(count(label) AS VARCHAR) AS n FROM ev UNION ALL SELECT 'https://query.example.org/repo/full', CAST(count(*) AS VARCHAR) FROM nation",
+    "from_graph": f"SELECT '{EX}col/n_name' AS p, CAST(count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT '{EX}col/n_regionkey', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT '{EX}col/r_name', CAST(count(*) AS VARCHAR) FROM region",
+    "from_named": f"SELECT '{EX}nation' AS g, CAST(2 * count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT '{EX}supplier', CAST(3 * count(*) AS VARCHAR) FROM supplier",
+    "optional_shared": f"""SELECT {_S} s_suppkey AS s, {_N} n.n_nationkey AS k, {_R} n.n_regionkey AS r FROM supplier JOIN nation m ON s_nationkey = m.n_nationkey LEFT JOIN nation n ON m.n_name <> 'NATION_3' OR n.n_nationkey = m.n_nationkey""",
+    "minus_loose": f"SELECT {_S} s_suppkey AS s, CASE WHEN r_name LIKE '%A' THEN {_N} n_nationkey END AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE n_name <> 'NATION_1' OR r_name NOT LIKE '%A'",
+    "type_alternatives": f"WITH {_EV} SELECT np, type AS t FROM ev WHERE event_type IN ('error', 'signup')",
+    "path_star": f"""WITH RECURSIVE {_EV},
+up AS (SELECT np, np AS target FROM ev WHERE event_type = 'purchase' UNION SELECT u.np, r.target FROM up u JOIN rel r ON r.np = u.target AND r.pred = 'supersedes')
+SELECT np AS v, CAST(count(*) AS VARCHAR) AS n FROM up GROUP BY np""",
+    "coalesce_value": f"WITH {_EV} SELECT np, coalesce(label, 'none') AS l FROM ev WHERE event_type = 'signup'",
+    "text_matches": f"""WITH {_EV},
+lits AS (
+  SELECT np, 'label' AS p, label AS o FROM ev WHERE label IS NOT NULL UNION ALL SELECT np, 'pk', pk FROM ev UNION ALL SELECT np, 'created', strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') FROM ev UNION ALL SELECT np, 'number', CAST(event_id AS VARCHAR) FROM ev),
+w AS (SELECT *, regexp_extract_all(lower(o), '[\\p{{L}}\\p{{N}}]+') AS ws FROM lits),
+stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+tf AS (SELECT np, p, o, len(ws) AS dl, q.word, len(list_filter(ws, lambda x: x = q.word)) AS tf FROM w, (VALUES ('7'), ('12')) q(word)),
+df AS (SELECT word, count(*) AS df FROM tf WHERE tf > 0 GROUP BY word)
+SELECT np, '{NS["rdfs"]}label' AS prop, CAST(CAST(floor(1000 * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)))) AS BIGINT) AS VARCHAR) AS k, min(o) AS snippet
+FROM tf JOIN df USING (word), stats WHERE tf > 0 AND p = 'label' AND np IN (SELECT np FROM ev WHERE event_type = 'purchase') GROUP BY np""",
     "functions_text": f"SELECT {_C} c_custkey AS c, upper(c_name) AS u, CAST(length(c_name) AS VARCHAR) AS l, substr(c_name, 3, 4) AS s, split_part(c_name, '#', 1) AS b, split_part(c_name, '#', 2) AS a, md5(c_name) AS m FROM customer",
     "functions_number": f"SELECT {_C} c_custkey AS c, CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) AS f, CASE WHEN c_acctbal > 5000 THEN 'high' ELSE 'low' END AS k FROM customer",
     "functions_time": "SELECT CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS VARCHAR) AS m, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.queries import data, published, reference
+from quadrille.queries import admin, data, published, reference
 from quadrille.queries.data_sql import SQL as DATA_SQL
 from quadrille.queries.reference_sql import SQL as REFERENCE_SQL
 
@@ -12,8 +12,8 @@ _DATA = {k: v for k, v in vars(data).items() if k[:1] == "p" and k[1:2].isdigit(
 
 
 def queries() -> dict:
-    return _DATA | reference.QUERIES | published.QUERIES
+    return _DATA | reference.QUERIES | published.QUERIES | admin.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return DATA_SQL | REFERENCE_SQL | published.SQL
+    return DATA_SQL | REFERENCE_SQL | published.SQL | admin.SQL

@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,6 +98,19 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r[0] for r in spark.read.text(path).collect()) if fs.exists(p) else None
 
 
+@contextmanager
+def scratch_scope():
+    """Intermediates written within are removed at its end. What was computed from them must have been written or
+    collected by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        for spark, path in _written[before:]:
+            remove(spark, path)
+        del _written[before:]
+
+
 def materialize(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Write df to the shared folder, in a folder for each value of ``by``, and read it back: cuts the lineage,
     survives lost executors and gives the optimizer exact sizes. Returns the table and the bytes of its files."""

@@ -10,6 +10,7 @@ from quadrille.model import Mapping, MappedQuads, ns
 from quadrille.plans.ingest import GRAPH
 from quadrille.operators.ranks import row_numbers
 from quadrille.plans.resolve import ADMIN, ADMIN_PRED, GEN, GEN_SPACE, MAINTAINER, MEMBER, OBSERVER
+from quadrille.session import materialize
 from quadrille.sources.tables import table
 from quadrille.sparql.parser import XSD
 
@@ -96,10 +97,12 @@ def spaces(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     r = region.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("ref"), F.concat(F.lit(EX), "r_name").alias("space"), F.lit(None).cast("string").alias("prefix"))
     root = customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").alias("k"))
     definition = n.join(root, "n_nationkey").select("ref", F.concat(F.lit("https://np.example.org/def/"), "ref").alias("np"), cust(F.col("k")).alias("root_admin"))
-    w = Window.partitionBy("c_nationkey").orderBy("o_orderdate", "o_orderkey")
-    o = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).withColumn("next", F.lead("o_custkey").over(w)).where("next is not null")
+    o = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    o, _ = materialize(row_numbers(o, ["c_nationkey"], ["o_orderdate", "o_orderkey"], F.floor(F.unix_date(F.to_date("o_orderdate")) / 30), "rn"), "orders")
+    o = o.join(o.select("c_nationkey", (F.col("rn") - 1).alias("rn"), F.col("o_custkey").alias("next")), ["c_nationkey", "rn"])
     o = o.join(n.select("n_nationkey", "space"), F.col("c_nationkey") == F.col("n_nationkey"))
     o = o.select("o_orderstatus", "o_orderpriority", "space", np_iri(F.col("o_orderkey")).alias("np"), key(F.col("o_custkey")).alias("pk"), cust(F.col("next")).alias("agent"), F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_orderkey").alias("ln"), F.concat(F.lit(EX + "role/"), "o_orderpriority").alias("role"), F.concat(F.lit(EX + "pred/"), "o_orderpriority").alias("pred"))
+    o, _ = materialize(o, "order-nanopubs")
     admin = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     grant = o.where("o_orderstatus = 'O'")
     inverse = grant.where(admin).select(F.col("np").alias("ri"), "space", "agent", F.lit("inverse").alias("dir"), F.lit(ADMIN_PRED).alias("pred"), "pk", "np", "created")

@@ -11,10 +11,15 @@ from pyspark.sql import types as T
 
 from quadrille.model import QUAD_COLUMNS, FlatQuads, QuadSource, node_term, term
 from quadrille.operators.closure import closure
+from quadrille.plans.textsearch import TextSearch
+from quadrille.session import materialize
 from quadrille.sparql import expressions as X
 from quadrille.sparql.expressions import Val
 from quadrille.sparql.parser import Query, SparqlError, parse, parse_update, variables
 
+#: Fixed value: the namespace of full-text patterns.
+SEARCH = "http://www.openrdf.org/contrib/lucenesail#"
+
 TERM = T.StructType([T.StructField(c, T.StringType(), False) for c in ("k", "v", "dt", "lang")])
 
 
@@ -120,10 +125,11 @@ def _unkey(c: Column) -> Column:
 
 
 class Engine:
-    """Queries and updates over one quad source. ``base``: IRI prefix of repositories in SERVICE clauses."""
+    """Queries and updates over one quad source. ``base``: IRI prefix of repositories in SERVICE clauses. ``text``: what
+    search:matches asks, by default an index of all literals."""
 
-    def __init__(self, spark: SparkSession, source: QuadSource, base: str = "https://query.example.org/repo/", prefixes: dict[str, str] | None = None):
-        self.spark, self.source, self.base, self.prefixes = spark, source, base, prefixes or {}
+    def __init__(self, spark: SparkSession, source: QuadSource, base: str = "https://query.example.org/repo/", prefixes: dict[str, str] | None = None, text: TextSearch | None = None):
+        self.spark, self.source, self.base, self.prefixes, self.text = spark, source, base, prefixes or {}, text
 
     # -- results
     def query(self, text: str, repo: str | None = None, terms: bool = False) -> DataFrame:
@@ -166,7 +172,9 @@ class Engine:
 
     def update(self, text: str) -> DataFrame:
         """The quads after a sequence of updates; this engine then answers from them. Nothing is changed in place."""
-        for op in parse_update(text, self.prefixes):
+        for k, op in enumerate(parse_update(text, self.prefixes)):
+            if k:  # the operations before are written, so that plans do not grow with their number
+                self.source = FlatQuads(materialize(self.source.scan(None, None, None, None, None).select(*QUAD_COLUMNS), "quads")[0])
             quads = self.source.scan(None, None, None, None, None).select(*QUAD_COLUMNS)
             if op[0] == "drop":
                 quads = quads.where(F.col("g") != op[1][1]) if op[1] else quads.where("false")
@@ -496,7 +504,30 @@ class Engine:
         raise SparqlError(f"no value for {kind}")
 
     # -- basic graph patterns
+    def text_matches(self, triples: list, scope: Scope, sol: Sol | None) -> tuple[list, Sol | None]:
+        """Answer ``?s search:matches [ search:query "..." ; search:property ... ; search:score ?x ; search:snippet ?y ]``;
+        the other triples and the solutions. The query is a constant, as prepared bindings make it."""
+        for ask in [t for t in triples if t[1] == ("p", SEARCH + "matches")]:
+            s, _, node = ask
+            own = [t for t in triples if t[0] == node and t[1][0] == "p" and t[1][1].startswith(SEARCH)]
+            triples = [t for t in triples if t is not ask and t not in own]
+            given = {t[1][1].removeprefix(SEARCH): t[2] for t in own}
+            if given.get("query", ("",))[0] != "lit" or set(given) - {"query", "property", "score", "snippet"} or s[0] == "lit":
+                raise SparqlError("search:matches needs a search:query that is a literal; known are query, property, score, snippet")
+            prop = given.get("property")
+            repo = scope.repo[1] if scope.repo and scope.repo[0] == "iri" else None
+            index = self.text or TextSearch(self.source.scan(repo, None, None, prop[1] if prop and prop[0] == "iri" else None, None))
+            df = index.matches(given["query"][1], prop[1] if prop and prop[0] == "iri" else None)
+            if s[0] == "iri":
+                df = df.where(F.col("s") == s[1])
+            cols = [(s[1], "iri", F.col("s"))] if s[0] == "var" else []
+            cols += [(prop[1], "iri", F.col("p"))] if prop and prop[0] == "var" else []
+            cols += [(given[k][1], "term", X.to_term(Val(t, F.col(k)))) for k, t in (("score", "num"), ("snippet", "str")) if k in given and given[k][0] == "var"]
+            sol = join(sol, self._collect(df, cols))
+        return triples, sol
+
     def bgp(self, triples: list, scope: Scope, sol: Sol | None) -> Sol:
+        triples, sol = self.text_matches(triples, scope, sol)
         stars: dict[tuple, list] = {}
         for s, p, o in triples:
             if s[0] == "var" and p[0] == "p" and o[0] == "var" and o != s:

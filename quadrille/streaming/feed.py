@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import glob
+import sys
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +17,38 @@ class Span(InputPartition):
         self.path, self.low, self.high = path, low, high
 
 
+def _files(path: str):
+    """The file system and the files of a glob, which may be a URI of any file system that Arrow knows."""
+    import fnmatch
+    import glob
+    import posixpath
+
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), sorted(glob.glob(path))
+    system, pattern = fs.FileSystem.from_uri(path.replace("*", "%2A"))
+    pattern = pattern.replace("%2A", "*")
+    folder = posixpath.dirname(pattern)
+    return system, sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.is_file and fnmatch.fnmatch(f.path, pattern))
+
+
+def _dataset(path: str):
+    import pyarrow.dataset as ds
+
+    system, files = _files(path)
+    return ds.dataset(files, filesystem=system, format="parquet")
+
+
 def _rows(span: Span, columns: list[str]) -> Iterator:
     import pyarrow.dataset as ds
 
     c = ds.field("counter")
-    yield from ds.dataset(sorted(glob.glob(span.path))).to_batches(columns=columns, filter=(c > span.low) & (c <= span.high))
+    yield from _dataset(span.path).to_batches(columns=columns, filter=(c > span.low) & (c <= span.high))
 
 
 class CounterFeed(DataSource):
-    """Parquet files with a rising ``counter``. Options: path (a glob), batch (records of a micro-batch), start (the
+    """Parquet files with a rising ``counter``. Options: path (a glob, or a URI with one), batch (records of a micro-batch), start (the
     counter to begin after). The offset is the counter, so a restart goes on exactly where the last batch ended."""
 
     @classmethod
@@ -33,10 +56,9 @@ class CounterFeed(DataSource):
         return "counterfeed"
 
     def schema(self):
-        import pyarrow.dataset as ds
         from pyspark.sql.pandas.types import from_arrow_schema
 
-        return from_arrow_schema(ds.dataset(sorted(glob.glob(self.options["path"]))).schema)
+        return from_arrow_schema(_dataset(self.options["path"]).schema)
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options, schema.names)
@@ -50,12 +72,13 @@ def _top(path: str) -> int:
     import pyarrow.parquet as pq
 
     top = -1
-    for f in glob.glob(path):
-        meta = pq.ParquetFile(f).metadata
+    system, files = _files(path)
+    for f in files:
+        meta = pq.ParquetFile(f, filesystem=system).metadata
         k = meta.schema.names.index("counter")
         for g in range(meta.num_row_groups):
             s = meta.row_group(g).column(k).statistics
-            top = max(top, s.max if s is not None and s.has_min_max else max(pq.read_table(f, columns=["counter"])["counter"].to_pylist(), default=-1))
+            top = max(top, s.max if s is not None and s.has_min_max else max(pq.read_table(f, columns=["counter"], filesystem=system)["counter"].to_pylist(), default=-1))
     return top
 
 
@@ -121,9 +144,17 @@ def in_order(batch: DataFrame, last: int) -> DataFrame:
     return batch.withColumn("counter", F.when(F.col("counter") > last, F.col("counter")).otherwise(F.raise_error(F.concat(F.lit("counter fell to "), F.col("counter").cast("string"))).cast("long")))
 
 
+def register(spark: SparkSession) -> None:
+    """Make the source known. It is sent to its workers by value, since they plan it without this package's files."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(CounterFeed)
+
+
 def run_once(spark: SparkSession, source: str, sink, checkpoint: str, **options) -> None:
     """Drain what the feed has into the sink and stop."""
-    spark.dataSource.register(CounterFeed)
+    register(spark)
     s = spark.readStream.format("counterfeed").options(path=source, **options).load()
     q = s.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
     try:
