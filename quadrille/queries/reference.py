@@ -12,6 +12,7 @@ from quadrille.functions.text import artifact_code, base64_key, clean, clean_low
 from quadrille.operators.closure import best_below, closure
 from quadrille.plans import ingest, listing, reconcile, resolve, textsearch, trust
 from quadrille.plans.templates import Template
+from quadrille.session import materialize
 from quadrille.sources import bridge
 from quadrille.sources.tables import table
 from quadrille.sparql.engine import Engine
@@ -110,8 +111,10 @@ def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = bridge.event_relations(spark, sf_dir)
     n = bridge.event_nanopubs(spark, sf_dir).select("np", "pk", "created")
     edges = rel.where("pred = 'supersedes'").select(F.col("np").alias("src"), F.col("target").alias("dst"))
+    edges, _ = materialize(edges, "supersedes")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()  # others neither ask nor answer
     dead = resolve.same_key_invalidations(n, rel.where("pred = 'invalidates'").select(F.col("np").alias("inv"), "target")).select(F.col("target").alias("np")).distinct()
-    alive = n.join(dead, "np", "left_anti").select(F.col("np").alias("node"), "pk", F.struct("created", "np").alias("val"))
+    alive = n.join(dead, "np", "left_anti").select(F.col("np").alias("node"), "pk", F.struct("created", "np").alias("val")).join(nodes, "node", "left_semi")
     best = best_below(edges, alive, ["pk"])
     if best is None:  # several edges of a nanopub, or cycles: all pairs are needed
         up = closure(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
