@@ -13,12 +13,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.iri import encode_for_uri
 from quadrille.model import NS
-from quadrille.session import materialize
+from quadrille.session import broadcast_if_small, materialize
 
 # The tiers, from the highest.
 GEN = NS["gen"]
@@ -42,6 +45,10 @@ EXT = {
     "loads": "np string, ln long, pk string",
     "invalidates": "inv string, target string",
 }
+#: The rounds of the admins run within one task for references of up to so many grants and revocations.
+LOCAL_ROWS = 1_000_000
+#: As many rows are meant for a task of them.
+LANE_ROWS = 50_000
 ADMIN_PRED = GEN + "hasAdmin"
 GEN_SPACE = GEN + "Space"
 
@@ -52,8 +59,12 @@ def approved(accounts: DataFrame) -> DataFrame:
 
 
 def same_key_invalidations(loads: DataFrame, invalidates: DataFrame) -> DataFrame:
-    """inv, target pairs where both nanopubs were signed with one key (D13)."""
-    keyed = loads.select("np", "pk").dropna().distinct()
+    """inv, target pairs where both nanopubs were signed with one key (D13). Of the loads only those named are
+    shuffled, as their hashes tell, if these are few; what the hashes let pass is joined by the nanopubs."""
+    invalidates, _ = materialize(invalidates.select("inv", "target").dropna(), "invalidates")
+    marks = invalidates.select(F.explode(F.array("inv", "target")).alias("np")).select(F.xxhash64("np").alias("_h")).distinct()
+    marks = broadcast_if_small(*materialize(marks, "marks"))
+    keyed = loads.select("np", "pk").dropna().withColumn("_h", F.xxhash64("np")).join(marks, "_h", "left_semi").drop("_h").distinct()
     x = invalidates.join(keyed.select(F.col("np").alias("inv"), "pk"), "inv")
     return x.join(keyed.select(F.col("np").alias("target"), "pk"), ["target", "pk"]).select("inv", "target").distinct()
 
@@ -62,6 +73,52 @@ def moment(created: Column) -> Column:
     return F.coalesce(created, F.timestamp_seconds(F.lit(0)))
 
 
+#: Rows that the rounds of the admins read: givers known before, roots, grants, revocations.
+KNOWN, ROOT, GRANT, REVOCATION = range(4)
+ADMINS = "ref string, space string, agent string, np string"
+
+
+def admit(rows: pa.Table) -> pa.Table:
+    """All rounds of Resolver.admins() for whole references: ref, space, agent, np of whom they admit.
+
+    ``rows``: kind, ref, by, agent, at (microseconds), np, space. Agents of references are numbered; a round reads the
+    grants of those found last and the revocations by those found since."""
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("at", "np", "space")], null_placement="at_start"))
+    numbers = lambda *cs: pa.chunked_array([x for c in cs for x in rows[c].chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    ref, agents = np.tile(numbers("ref"), 2), numbers("agent", "by")
+    nodes, node = np.unique(ref * (agents.max(initial=0) + 1) + agents, return_inverse=True)
+    agent, by, kind, at, n = node[: len(rows)], node[len(rows) :], rows["kind"].to_numpy(), rows["at"].to_numpy(), len(nodes)
+
+    def index(rows_of: np.ndarray):
+        """A function that gives the numbers of these rows by a set of nodes, in their order."""
+        order = rows_of[np.argsort(by[rows_of], kind="stable")]
+        start = np.searchsorted(by[order], np.arange(n + 1))
+
+        def of(some: np.ndarray) -> np.ndarray:
+            size = start[some + 1] - start[some]
+            return np.sort(order[np.repeat(start[some] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+
+        return of
+
+    grants, revocations = index(np.flatnonzero(kind == GRANT)), index(np.flatnonzero(kind == REVOCATION))
+    revoked, known = np.full(n, np.iinfo(np.int64).min), np.zeros(n, bool)
+
+    def revoke(r: np.ndarray) -> None:
+        np.maximum.at(revoked, agent[r], at[r])
+
+    revoke(np.flatnonzero((kind == REVOCATION) & (agent == by)))
+    known[agent[kind == KNOWN]] = True
+    last, givers, found = np.flatnonzero(known), np.unique(agent[kind <= ROOT]), []
+    while len(givers):
+        revoke(revocations(last))
+        g = grants(givers)
+        g = g[~known[agent[g]] & (revoked[agent[g]] < at[g])]
+        last, first = np.unique(agent[g], return_index=True)
+        found.append(g[first])
+        known[last], givers = True, last
+    return rows.take(pa.array(np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64))).select(["ref", "space", "agent", "np"])
+
+
 class Resolver:
     """The rules over one extraction. ``since``: only rows of nanopubs loaded after that number (exclusive)."""
 
@@ -69,11 +126,12 @@ class Resolver:
         self.spark = spark
         self.ext = {k: ext[k] if k in ext else spark.createDataFrame([], s) for k, s in EXT.items()}
         self.since = since
+        self._denoted: dict[int, tuple[DataFrame | None, DataFrame]] = {}
 
     @cached_property
     def dead(self) -> DataFrame:
         """Invalidated nanopubs; written once, as every rule reads them."""
-        return materialize(same_key_invalidations(self.ext["loads"], self.ext["invalidates"]).select(F.col("target").alias("np")).distinct(), "dead")[0]
+        return broadcast_if_small(*materialize(same_key_invalidations(self.ext["loads"], self.ext["invalidates"]).select(F.col("target").alias("np")).distinct(), "dead"))
 
     def live(self, name: str, new: bool = True) -> DataFrame:
         """Rows that are not invalidated, and new ones only if the resolver has a horizon."""
@@ -82,9 +140,10 @@ class Resolver:
             df = df.join(self.ext["loads"].where(F.col("ln") > self.since).select("np").distinct(), "np", "left_semi")
         return df
 
-    def published(self, name: str, new: bool = True) -> DataFrame:
-        """Live rows with the agents that published them (pub)."""
-        return self.live(name, new).join(self.ext["acct"].select(F.col("agent").alias("pub"), "pk"), "pk")
+    def published(self, name: str, new: bool = True, only: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+        """Live rows with the agents that published them (pub); joined with ``only`` first."""
+        live = self.live(name, new)
+        return (live if only is None else live.join(only, on)).join(self.ext["acct"].select(F.col("agent").alias("pub"), "pk"), "pk")
 
     def anew(self, **kw) -> Resolver:
         r = object.__new__(Resolver)
@@ -120,13 +179,22 @@ class Resolver:
         entitled = rev.where("by = agent").select("ref", "agent", "at").unionByName(rev.join(admin, ["ref", "by"], "left_semi").select("ref", "agent", "at"))
         return entitled.groupBy("ref", "agent").agg(F.max("at").alias("revoked_at"))
 
-    def admins(self, state: DataFrame | None = None) -> DataFrame:
+    def admins(self, state: DataFrame | None = None, local: int = LOCAL_ROWS) -> DataFrame:
         """Admins by signed grants, from the root admins on: ref, space, agent, np. Semi-naive: each round follows only
-        the admins found last; whom an admin already found has revoked by then is not admitted."""
-        refs = self.ext["ref_iri"].select("ref", "space").distinct()
-        grants = self.published("grant").where((F.col("pred") == ADMIN_PRED) & (F.col("dir") == "inverse")).join(refs, "space")
+        the admins found last; whom an admin already found has revoked by then is not admitted. No reference bears on
+        another, so that a task runs all rounds of its references, however many; rounds of all executors are left for
+        tables with a reference of more rows than ``local``."""
+        refs = self.denotes(None)
+        grants = self.published("grant").where((F.col("pred") == ADMIN_PRED) & (F.col("dir") == "inverse") & F.col("agent").isNotNull()).join(refs, "space")
         grants, _ = materialize(grants.select("ref", "space", "agent", "pub", "np", moment(F.col("created")).alias("at")), "grants")
-        none = self.spark.createDataFrame([], "ref string, space string, agent string, np string")
+        none = self.spark.createDataFrame([], ADMINS)
+        rows = self._admin_rows(grants, state)
+        size = rows.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+        if (size["most"] or 0) <= local:
+            lanes = (size["all"] or 0) // LANE_ROWS + 1
+            new = rows.groupBy(F.pmod(F.xxhash64("ref"), F.lit(lanes)).alias("_lane")).applyInArrow(admit, ADMINS)
+            new, _ = materialize(new, "admins")
+            return new if state is None else state.select(*new.columns).unionByName(new)
         known = state if state is not None else none
         givers = self.roots() if state is None else self.roots().unionByName(state.select("ref", "agent")).distinct()
         revocable = bool(self._revoked.limit(1).count())
@@ -140,8 +208,22 @@ class Resolver:
                 return known
             known, givers = known.unionByName(new), new
 
+    def _admin_rows(self, grants: DataFrame, state: DataFrame | None) -> DataFrame:
+        """What admit() reads."""
+        row = lambda df, kind, by, at, *more: df.select(F.lit(kind).alias("kind"), "ref", F.col(by).alias("by"), "agent", at.alias("at"), *(more or (F.lit(None).cast("string").alias(c) for c in ("np", "space"))))
+        parts = [row(grants, GRANT, "pub", F.unix_micros("at"), "np", "space"), row(self._revoked, REVOCATION, "by", F.unix_micros("at")), row(self.roots(), ROOT, "agent", F.lit(0).cast("long"))]
+        if state is not None:
+            parts.append(row(state.select("ref", "agent").distinct(), KNOWN, "agent", F.lit(0).cast("long")))
+        return reduce(DataFrame.unionByName, parts).dropna(subset=["ref", "by", "agent"])
+
     # -- D10, D6 of the notation: which references an IRI stands for
     def denotes(self, same_as: DataFrame | None) -> DataFrame:
+        """space, ref; written once for each table of aliases, and broadcast if it is small."""
+        if id(same_as) not in self._denoted:
+            self._denoted[id(same_as)] = same_as, broadcast_if_small(*materialize(self._denotes(same_as), "denotes"))
+        return self._denoted[id(same_as)][1]
+
+    def _denotes(self, same_as: DataFrame | None) -> DataFrame:
         own = self.ext["ref_iri"].select("space", "ref")
         return (own.unionByName(same_as.select(F.col("alias").alias("space"), "ref")) if same_as is not None else own).distinct()
 
@@ -150,7 +232,7 @@ class Resolver:
         refs = self.ext["ref_iri"].select(F.col("space").alias("canonical"), "ref").distinct()
         a = self.published("alias").join(refs, "canonical").join(admins.select("ref", F.col("agent").alias("pub")).distinct(), ["ref", "pub"], "left_semi")
         a = a.select("alias", "canonical", "ref", "np").distinct()
-        foreign = a.select("alias", "ref").join(admins.select(F.col("space").alias("alias"), "agent").distinct(), "alias").join(admins.select("ref", "agent").distinct(), ["ref", "agent"], "left_anti")
+        foreign = a.select("alias", "ref").distinct().join(admins.select(F.col("space").alias("alias"), "agent").distinct(), "alias").join(admins.select("ref", "agent").distinct(), ["ref", "agent"], "left_anti")
         return a.join(foreign.select("alias", "ref").distinct(), ["alias", "ref"], "left_anti")
 
     def subspaces(self, admins: DataFrame) -> DataFrame:
@@ -160,10 +242,17 @@ class Resolver:
         side = lambda s: adm.select(F.col("ref").alias(f"{s}_ref"), F.col("space").alias(s), F.col("agent").alias(f"{s}_pub"))
         d = self.published("subspace").where("child <> parent").select("child", "parent", "np", "pub")
         one = d.join(side("child").withColumnRenamed("child_pub", "pub"), ["child", "pub"]).join(side("parent").withColumnRenamed("parent_pub", "pub"), ["parent", "pub"])
-        other = self.published("subspace", False).where("child <> parent").select("child", "parent", F.col("np").alias("np2"), F.col("pub").alias("pub2"))
-        two = d.join(other, ["child", "parent"]).where("np <> np2")
-        cover = lambda s: two.join(side(s), s).where(F.col(f"{s}_pub").isin(F.col("pub"), F.col("pub2"))).select("child", "parent", "np", "np2", "pub", "pub2", f"{s}_ref").distinct()
-        both = cover("child").join(cover("parent"), ["child", "parent", "np", "np2", "pub", "pub2"])
+        # of the other declarations of a pair only their publishers count, with two nanopubs each: one of them is another
+        other = self.published("subspace", False).where("child <> parent").groupBy("child", "parent", F.col("pub").alias("pub2")).agg(F.min("np").alias("n1"), F.max("np").alias("n2"))
+        of = lambda df, s, pub: df.join(side(s).withColumnRenamed(f"{s}_pub", pub), [s, pub])
+        ends = ["child", "parent", "child_ref", "parent_ref"]
+        fold = lambda df, *by: df.groupBy("child", "parent", *by).agg(F.min("n1").alias("n1"), F.max("n2").alias("n2"))
+        both = [
+            d.join(fold(of(of(other, "child", "pub2"), "parent", "pub2"), *ends[2:]), ["child", "parent"]),
+            of(d, "child", "pub").join(fold(of(other, "parent", "pub2"), "parent_ref"), ["child", "parent"]),
+            of(d, "parent", "pub").join(fold(of(other, "child", "pub2"), "child_ref"), ["child", "parent"]),
+        ]
+        both = reduce(DataFrame.unionByName, (x.where("np <> n1 or np <> n2").select(*ends, "np") for x in both))
         cols = ["child_ref", "parent_ref", "child", "parent", "np"]
         return one.select(*cols).unionByName(both.select(*cols)).distinct()
 
@@ -192,8 +281,9 @@ class Resolver:
 
     def attachments(self, admins: DataFrame, same_as: DataFrame) -> DataFrame:
         """ref, space, role, np of roles attached by an admin, and by presets (preset set). First row per (ref, role)."""
-        adm = admins.select("ref", F.col("agent").alias("pub")).distinct()
-        direct = self.published("attachment").join(self.denotes(same_as), "space").join(adm, ["ref", "pub"], "left_semi")
+        keys = admins.select("ref", "agent").join(self.ext["acct"].select("agent", "pk"), "agent").select("ref", "pk").distinct()
+        keys = broadcast_if_small(*materialize(keys, "admin-keys"))
+        direct = self.live("attachment").join(self.denotes(same_as), "space").join(keys, ["ref", "pk"], "left_semi")
         direct = direct.select("ref", "space", "role", "np", moment(F.col("created")).alias("at"), F.lit(None).cast("string").alias("preset"))
         both = direct.unionByName(self.preset_attachments(admins, same_as))
         both = both.join(self.detached(admins, same_as), ["ref", "role"], "left").where("detached_at is null or detached_at < at")
@@ -234,10 +324,11 @@ class Resolver:
         decl = self.ext["declaration"].where(F.col("role_type") == tier).select("dir", "pred").distinct()
         return roles.join(decl, ["dir", "pred"], "left_semi").select("ref", "agent").distinct()
 
-    def role_revocations(self, admins: DataFrame, same_as: DataFrame, roles: DataFrame, tier: str) -> DataFrame:
+    def role_revocations(self, admins: DataFrame, same_as: DataFrame, roles: DataFrame, tier: str, of: DataFrame) -> DataFrame:
         """ref, agent, role and the newest revocation by an admin, by a maintainer (of members and observers), by a
-        member (of observers) or by the agent itself."""
-        rev = self.ext["revocation"].where(F.col("role") != ADMIN).join(self.denotes(same_as), "space").join(self.ext["acct"].select(F.col("agent").alias("by"), "pk"), "pk").select("ref", "agent", "role", "by", moment(F.col("created")).alias("at"))
+        member (of observers) or by the agent itself, of the agents and roles of the references in ``of``."""
+        some = broadcast_if_small(*materialize(of.select("ref", "agent", "role").distinct(), "revocable"))
+        rev = self.ext["revocation"].where(F.col("role") != ADMIN).join(self.denotes(same_as), "space").join(some, ["ref", "agent", "role"], "left_semi").join(self.ext["acct"].select(F.col("agent").alias("by"), "pk"), "pk").select("ref", "agent", "role", "by", moment(F.col("created")).alias("at"))
         held = [admins.select("ref", "agent")]
         if tier in (MEMBER, OBSERVER):
             held.append(roles.where(F.col("role_type") == MAINTAINER).select("ref", "agent"))
@@ -253,7 +344,8 @@ class Resolver:
         admin or holds a higher tier; observers may name themselves."""
         decl = self.ext["declaration"].where(F.col("role_type") == tier).select("role", "role_type", "dir", "pred").distinct()
         open_ = attached.select("ref", "role").distinct().join(decl, "role").join(self.denotes(same_as), "ref")
-        x = open_.join(self.published("grant"), ["space", "dir", "pred"]).select("ref", "space", "agent", "role", "role_type", "dir", "pred", "np", "pub", moment(F.col("created")).alias("at"))
+        open_ = broadcast_if_small(*materialize(open_, "open"))
+        x = self.published("grant", only=open_, on=["space", "dir", "pred"]).select("ref", "space", "agent", "role", "role_type", "dir", "pred", "np", "pub", moment(F.col("created")).alias("at"))
         held = [admins.select("ref", "agent")]
         if tier in (MEMBER, OBSERVER):
             held.append(self.holders(roles, MAINTAINER))
@@ -263,7 +355,8 @@ class Resolver:
         ok = x.join(may, ["ref", "pub"], "left_semi")
         if tier == OBSERVER:
             ok = ok.unionByName(x.where("pub = agent"))
-        ok = ok.join(self.role_revocations(admins, same_as, roles, tier), ["ref", "agent", "role"], "left").where("revoked_at is null or revoked_at < at")
+        ok, _ = materialize(ok, "offered")
+        ok = ok.join(self.role_revocations(admins, same_as, roles, tier, ok), ["ref", "agent", "role"], "left").where("revoked_at is null or revoked_at < at")
         return ok.select("ref", "space", "agent", "role", "role_type", "dir", "pred", "np").distinct()
 
     # -- D18, D19
@@ -284,6 +377,8 @@ class Resolver:
 
         out = {"admin": admins, "alias": keep("alias", r.aliases(admins))}
 
+        r.denotes(out["alias"])  # once for all that follow
+
         def structure() -> None:
             out["subspace"] = keep("subspace", r.subspaces(admins))
             out["prefix"] = materialize(r.prefix_subspaces(out["subspace"]), "prefix")[0]
@@ -326,7 +421,7 @@ class Resolver:
         out["attachment"] = a.where("preset is null").select(*state["attachment"].columns).unionByName(a.where("preset is not null").join(active, ["preset", "ref", "np"], "left_semi").select(*state["attachment"].columns))
         parts = []
         for tier in (MAINTAINER, MEMBER, OBSERVER):
-            r = out["role"].where(F.col("role_type") == tier).join(at("grant", "at"), "np", "left").join(self.role_revocations(admins, same, out["role"], tier), ["ref", "agent", "role"], "left")
+            r = out["role"].where(F.col("role_type") == tier).join(at("grant", "at"), "np", "left").join(self.role_revocations(admins, same, out["role"], tier, out["role"]), ["ref", "agent", "role"], "left")
             parts.append(r.where("revoked_at is null or revoked_at < at").select(*state["role"].columns))
         out["role"] = reduce(DataFrame.unionByName, parts)
         return out

@@ -339,9 +339,11 @@ def auth_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same after a build without the younger half of the parts and an incremental cycle that brings them, and with
     them invalidations, deactivations and detachments of what was built."""
     ext = extraction(bridge.authority(spark, sf_dir))
+    ext["acct"], _ = materialize(ext["acct"], "acct")
     middle = ext["loads"].where("ln >= 1000000000").agg(F.percentile_approx("ln", 0.5)).first()[0] or 0
-    late = ext["loads"].where(F.col("ln") > middle).select("np").distinct()
-    half = {k: v.join(late, "np", "left_anti") if "np" in v.columns else v for k, v in ext.items()}
+    late, _ = materialize(ext["loads"].where(F.col("ln") > middle).select("np").distinct(), "late")
+    half = {k: v.join(late, "np", "left_anti") if k in bridge.OF_PARTS else v for k, v in ext.items()}
+    half["loads"] = ext["loads"].where(F.col("ln") <= middle)
     half["invalidates"] = ext["invalidates"].join(late.withColumnRenamed("np", "inv"), "inv", "left_anti")
     state = resolve.Resolver(spark, half).build()
     r = resolve.Resolver(spark, ext, since=middle)

@@ -100,9 +100,9 @@ def spaces(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     o = orders.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     o, _ = materialize(row_numbers(o, ["c_nationkey"], ["o_orderdate", "o_orderkey"], F.floor(F.unix_date(F.to_date("o_orderdate")) / 30), "rn"), "orders")
     o = o.join(o.select("c_nationkey", (F.col("rn") - 1).alias("rn"), F.col("o_custkey").alias("next")), ["c_nationkey", "rn"])
-    o = o.join(n.select("n_nationkey", "space"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o, _ = materialize(o.select("o_orderkey", "o_custkey", "next", "c_nationkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), "order-nanopubs")  # numbers; their texts are many times as long
+    o = o.join(F.broadcast(n.select("n_nationkey", "space")), F.col("c_nationkey") == F.col("n_nationkey"))
     o = o.select("o_orderstatus", "o_orderpriority", "space", np_iri(F.col("o_orderkey")).alias("np"), key(F.col("o_custkey")).alias("pk"), cust(F.col("next")).alias("agent"), F.col("o_orderdate").cast("timestamp").alias("created"), F.col("o_orderkey").alias("ln"), F.concat(F.lit(EX + "role/"), "o_orderpriority").alias("role"), F.concat(F.lit(EX + "pred/"), "o_orderpriority").alias("pred"))
-    o, _ = materialize(o, "order-nanopubs")
     admin = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     grant = o.where("o_orderstatus = 'O'")
     inverse = grant.where(admin).select(F.col("np").alias("ri"), "space", "agent", F.lit("inverse").alias("dir"), F.lit(ADMIN_PRED).alias("pred"), "pk", "np", "created")
@@ -122,6 +122,8 @@ def spaces(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+#: The tables of authority() all of whose nanopubs are parts; of the others only loads names any.
+OF_PARTS = ("subspace", "maintained", "alias", "preset_decl", "preset_assign", "detachment")
 #: The roles by number, as the priorities of orders name them.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -144,6 +146,7 @@ def authority(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     sup = row_numbers(supplier.select("s_suppkey", F.col("s_nationkey").alias("nk")), ["nk"], ["s_suppkey"], F.floor(F.col("s_suppkey") / 100_000), "rk")
     sup = sup.join(good, ["nk", "rk"]).join(nation.withColumnRenamed("n_nationkey", "nk"), "nk")
     sup = sup.select("nk", "rk", "agent", "pk", F.col("space").alias("above"), F.concat(F.lit("s"), "s_suppkey").alias("ref"), F.concat("space", F.lit("/s"), "s_suppkey").alias("space"), F.concat(F.lit("https://np.example.org/def/s"), "s_suppkey").alias("np"))
+    sup, _ = materialize(sup, "suppliers")
     epoch = F.lit("2024-01-01").cast("timestamp")
     nk = F.substring_index("p_brand", "#", -1).cast("long") - 1
     p = part.select("p_partkey", "p_type", F.col("p_size").cast("long").alias("size"), F.split("p_name", " ")[0].alias("colour"), (F.col("p_name") < "m").alias("first"), nk.alias("nk"), np_iri(F.concat(F.lit("p"), "p_partkey")).alias("np"))
@@ -151,6 +154,7 @@ def authority(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     of = F.when((F.col("p_type") == "ECONOMY") & ~F.col("first") & (F.col("size") > 25), (F.col("nk") + 1) % 25).otherwise(F.col("nk"))
     p = p.withColumns({"rk": rank, "of": of}).join(good.withColumnRenamed("nk", "of"), ["of", "rk"])
     p = p.join(nation.select(F.col("n_nationkey").alias("nk"), "space"), "nk").withColumns({"created": F.timestamp_micros(F.unix_micros(epoch) + F.col("p_partkey") * 60_000_000), "role": F.concat(F.lit(EX + "role/"), F.element_at(F.array(*map(F.lit, PRIORITIES)), F.least(F.floor((F.col("size") - 1) / 10) + 1, F.lit(5)).cast("int")))})
+    p, _ = materialize(p, "parts")  # every rule reads some of them
     kind = lambda t: p.where(F.col("p_type") == t)
     near = kind("ECONOMY").where("first").join(sup.select("nk", "rk", F.col("space").alias("child")), ["nk", "rk"]).select("child", F.col("space").alias("parent"), "pk", "np")
     far = kind("ECONOMY").where("not first").join(nation.select(((F.col("n_nationkey") + 24) % 25).alias("nk"), F.col("space").alias("parent")), "nk").select(F.col("space").alias("child"), "parent", "pk", "np")
